@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import quality, simhash
-from lumenframe.llm.common import checkpointed
+from lumenframe.llm import licenses, quality, simhash, tokens, topk, urls, warc
+from lumenframe.llm.common import checkpointed, shared_folder
+
+
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where a public tokenizer's file is; it is never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +29,20 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "pattern")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.count_tokens(docs, tokenizer_path(), shared_folder(spark, "token-counts"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.expr("try_cast(nullif(refers_to, '') AS BIGINT)").alias("refers_to"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
@@ -30,6 +51,62 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("id % 20 = 0"))
+
+
+def _sql_pattern(rule: urls.Rule) -> str:
+    """The rule as a regular expression of the SQL twin."""
+    return urls.expression(rule).pattern.replace("\\Z", "$").replace("\\-", "-").replace("'", "''")
+
+
+def _op2_sql() -> str:
+    rules = sorted(urls.PREFIX_RULES, key=lambda r: -len(r.pattern))
+    fits = {r: f"regexp_matches(target, '^(?s)(?:{_sql_pattern(r)})')" for r in (*rules, *urls.PATTERN_RULES)}
+    fits |= {r: f"regexp_matches(target, '^(?:{_sql_pattern(r)})', 'si')" for r in urls.PATTERN_RULES}
+    ranked = sorted(urls.PATTERN_RULES, key=lambda r: (r.verdict == "allow", len(r.pattern), r.pattern), reverse=True)
+    case = lambda rs, value, other: "CASE " + " ".join(f"WHEN {fits[r]} THEN '{value(r)}'" for r in rs) + f" ELSE {other} END"
+    return rf"""
+WITH u AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS tail FROM u),
+t AS (SELECT page_id, host, path, host || tail AS target FROM h),
+j AS (
+  SELECT page_id, host, path, {case(rules, lambda r: r.pattern, "NULL")} AS rule, {case(rules, lambda r: r.verdict, "NULL")} AS verdict,
+    {case(ranked, lambda r: r.pattern, "NULL")} AS pattern, {case(ranked, lambda r: r.verdict, f"'{urls.DEFAULT}'")} AS otherwise FROM t)
+SELECT page_id, host, path, rule, coalesce(verdict, otherwise) AS verdict, CASE WHEN rule IS NULL THEN pattern END AS pattern FROM j
+"""
+
+
+OP5_SQL = """
+WITH p AS (SELECT row_number() OVER () AS r, page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT r, page_id, octet_length(payload) AS n, sha256(payload) AS digest FROM p),
+f AS (SELECT *, first_value(page_id) OVER w AS first_id, row_number() OVER w AS place FROM d WINDOW w AS (PARTITION BY digest ORDER BY page_id NULLS LAST, r))
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND place > 1 THEN first_id END AS refers_to
+FROM f
+"""
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
 OP6_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -67,9 +144,17 @@ FROM f
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_url_filters": op2_url_filters,
+    "op3_token_counts": op3_token_counts,
+    "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
+    "op9_licenses": op9_licenses,
+    "op10_top_k": op10_top_k,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_url_filters": _op2_sql(),
+    "op5_warc": OP5_SQL,
     "op6_quality_rules": OP6_SQL,
+    "op10_top_k": OP10_SQL,
 }
