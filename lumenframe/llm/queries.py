@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import licenses, quality, simhash, tokens, topk, urls, warc
+from lumenframe.llm import licenses, mixing, quality, simhash, tokens, topk, toxicity, urls, warc
 from lumenframe.llm.common import checkpointed, shared_folder
 
 
@@ -38,6 +38,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, tokenizer_path(), shared_folder(spark, "token-counts"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.expr("try_cast(nullif(refers_to, '') AS BIGINT)").alias("refers_to"))
@@ -107,6 +111,41 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 20
 """
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key, coalesce('s' || source, 'n') AS name FROM documents),
+s AS (SELECT source, name, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source, name),
+w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, 3 * source_size AS most FROM s),
+l AS (
+  SELECT *, row_number() OVER o AS place,
+    CAST(sum(source_size) OVER () - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+    / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS level
+  FROM w WINDOW o AS (ORDER BY CAST(most AS DOUBLE) / weight, source NULLS LAST)),
+f AS (SELECT place, level FROM l WHERE weight * level <= most ORDER BY place LIMIT 1),
+t AS (
+  SELECT l.name, l.source_size, CASE WHEN l.place < f.place THEN CAST(l.most AS DOUBLE) ELSE l.weight * f.level END AS target
+  FROM l CROSS JOIN f),
+q AS (
+  SELECT doc_id, size, key, name, source_size, target, sum(size) OVER (PARTITION BY name ORDER BY key, size) AS upto
+  FROM d JOIN t USING (name)),
+c AS (
+  SELECT *, CASE WHEN target > 0 THEN CAST(CAST(upto + source_size * i AS BIGINT) AS DOUBLE) / target ELSE 0 END AS time
+  FROM q, (VALUES (0), (1), (2)) AS v(i)),
+r AS (SELECT *, sum(size) OVER (ORDER BY time, name, key, size) AS run FROM c),
+b AS (SELECT sum(size) AS budget FROM d),
+n AS (
+  SELECT doc_id, size, key, name, source_size, target,
+    count(*) FILTER (WHERE size > 0 AND run <= budget) / (count(*) // 3) AS copies, min(time) AS first_time
+  FROM r CROSS JOIN b GROUP BY doc_id, size, key, name, source_size, target)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS INTEGER) AS copies, first_time
+FROM n JOIN (SELECT doc_id AS again, size AS s, name AS m FROM d) ON again IS NOT DISTINCT FROM doc_id AND s = size AND m = name
+"""
+
 OP6_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -146,14 +185,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_url_filters": op2_url_filters,
     "op3_token_counts": op3_token_counts,
+    "op4_mixing": op4_mixing,
     "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
+    "op7_toxicity": op7_toxicity,
     "op9_licenses": op9_licenses,
     "op10_top_k": op10_top_k,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filters": _op2_sql(),
+    "op4_mixing": OP4_SQL,
     "op5_warc": OP5_SQL,
     "op6_quality_rules": OP6_SQL,
     "op10_top_k": OP10_SQL,
