@@ -93,7 +93,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
-def fit_logistic(rows: Sequence[np.ndarray], labels: np.ndarray, size: int, pairs: Sequence[tuple[np.ndarray, np.ndarray, float]], ridge: float = 2e-5, fairness: float = 10.0, steps: int = 600) -> tuple[float, np.ndarray]:
+def fit_logistic(rows: Sequence[np.ndarray], labels: np.ndarray, size: int, pairs: Sequence[tuple[np.ndarray, np.ndarray, float]], ridge: float = 1e-6, fairness: float = 10.0, steps: int = 1500) -> tuple[float, np.ndarray]:
     """Bias and weights that minimise log loss + ridge + counterfactual penalty.
 
     ``rows`` hold the features of each text; ``pairs`` features gained and
