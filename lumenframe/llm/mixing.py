@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import WORD, checkpointed
+from lumenframe.llm.common import WORD, checkpointed, own_name
 
 PASSES = 3
 WEIGHTS = (1, 2, 3)
@@ -48,7 +48,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int =
     return settled.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", bucket_rows: int = BUCKET_ROWS, keep_source: bool = False) -> DataFrame:
     """Every row's ``doc_id``, ``size``, ``source_size``, ``target``, ``taken`` and ``copies``.
 
     ``docs`` has ``doc_id``, ``source`` and ``text``; size is the number of
@@ -99,6 +99,21 @@ def mix(docs: DataFrame, seed: str = "mix", bucket_rows: int = BUCKET_ROWS) -> D
             bound = F.struct(*[F.lit(last[c]).alias(c) for c in ("time", "name", "key", "size")])
             inside_mix = lambda i: at(i) <= bound
     copies = sum((F.when((F.col("size") > 0) & inside_mix(i), F.lit(1)).otherwise(F.lit(0)) for i in range(PASSES)), F.lit(0))
-    return queued.select("doc_id", "size", "source_size", "target", copies.alias("copies"), time(0).alias("first_time")).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "first_time"
-    )
+    out = queued.select("doc_id", "size", "source_size", "target", copies.alias("copies"), time(0).alias("first_time"), "name")
+    out = out.withColumn("taken", F.col("size") * F.col("copies"))
+    return out if keep_source else out.drop("name")
+
+
+def mixture(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """The mix as rows of ``docs``: a row as often as the mix holds it.
+
+    Decisions are keyed by id, source and size, which is all they depend on,
+    so rows that repeat these are taken alike.
+    """
+    i, s, n, copies = own_name(docs, "id__", "source__", "size__", "copies__")
+    taken = mix(docs.select("doc_id", "source", "text"), seed, keep_source=True).where("copies > 0")
+    text_of = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("n"))
+    taken = taken.select(text_of("doc_id").alias(i), F.col("name").alias(s), F.col("size").alias(n), F.col("copies").alias(copies)).distinct()
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    keyed = docs.withColumns({i: text_of("doc_id"), s: text_of("source"), n: size})
+    return keyed.join(taken, [i, s, n]).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n+|[^{SPACE}\n]+")
 #: So many characters are handled at once; a longer text is a block of its own.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: Sums over words up to this length stay within doubles when scaled.
 _LINEAR = 150
 #: Scale for each character, about what a piece's log probability is per character.
@@ -305,9 +305,9 @@ def sample_block(v: Vocabulary, keys: Sequence[object], texts: Sequence[str], k:
             node = first[w] + place_of - place[w]
             heads[d] = (path.edges[:i], path.at[:i], i, edge, place_of)
             rest = slice(w + 1, words_to[d + 1])
-            starts += [np.array([node + grid.step[edge]]), first[rest]]
+            starts += [np.array([node + int(grid.step[edge])]), first[rest]]
             goals += [last[w : w + 1], last[rest]]
-            begins += [np.array([place_of + grid.step[edge]]), place[rest]]
+            begins += [np.array([place_of + int(grid.step[edge])]), place[rest]]
             owners.append(words_to[d + 1] - w)
         tail, tail_at, tail_counts = grid.walk(np.concatenate(starts), np.concatenate(goals), np.concatenate(begins), uniform([d for d, _ in opened]))
         ends = np.append(0, np.cumsum(tail_counts))[np.append(0, np.cumsum(owners))]

@@ -8,6 +8,7 @@ contributes needs bitwise arithmetic on the ledger only, never the texts.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -133,6 +134,20 @@ def passes(policy: str = CURRENT, failed: Column | None = None) -> Column:
     return (F.col("failed") if failed is None else failed).bitwiseAND(F.lit(policy_mask(policy)).cast("long")) == 0
 
 
+def keep(docs: DataFrame, policy: str = CURRENT, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text passes a policy."""
+    (m,) = own_name(docs, "measures__")
+    measured = docs.withColumn(m, _measures(F.col(f"`{text_col}`")))
+    rejects = {r.name: r.fails for r in RULES}
+    fails = F.lit(False)
+    for name in POLICIES[policy]:
+        predicate = rejects[name]
+        for x in MEASURES:
+            predicate = re.sub(rf"\b{x}\b", f"{m}.{x}", predicate)
+        fails = fails | F.expr(predicate)
+    return measured.where(~fails).drop(m)
+
+
 def ablation(ledger_rows: DataFrame, policy: str = CURRENT, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Per rule of a policy: how many rows it fails, and how many it alone rejects.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import licenses, mixing, quality, simhash, tokens, topk, toxicity, urls, warc
+from lumenframe.llm import licenses, mixing, pieces, quality, simhash, tokens, topk, toxicity, urls, warc
 from lumenframe.llm.common import checkpointed, shared_folder
 
 
@@ -115,6 +115,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.sample(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), with_ids=False)
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -189,6 +193,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_toxicity": op7_toxicity,
+    "op8_pieces": op8_pieces,
     "op9_licenses": op9_licenses,
     "op10_top_k": op10_top_k,
 }

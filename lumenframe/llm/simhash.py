@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm.common import checkpointed, components, hot_join
+from lumenframe.llm.common import checkpointed, components, hot_join, own_name
 
 SHINGLE = 3
 RADIUS = 1  # half the greatest linked distance
@@ -100,6 +100,23 @@ def near_duplicates(fingerprinted: DataFrame, id_col: str = "doc_id") -> DataFra
     return hot_join(fingerprinted, groups, "fp")
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each near-duplicate group, all columns as they are.
+
+    The row with the group's smallest id stays (null ids come last; of rows
+    that share it, one with the smallest content hash).  Fingerprints are
+    made once; the texts are shuffled once, to meet the ids that stay.
+    """
+    c, h, i, none = own_name(docs, "content__", "hash__", "id__", "none__")
+    content = F.xxhash64(F.coalesce("text", F.lit("")))
+    prints = checkpointed(docs.select("doc_id", content.alias(h), fingerprint_column(F.col("text")).alias("fp")))
+    grouped = near_duplicates(prints)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias(none), F.col("doc_id").alias(i), F.col(h))).alias(c)
+    stay = grouped.groupBy("root").agg(first).select(F.coalesce(F.col(f"{c}.{i}").cast("string"), F.lit("null")).alias(i), F.col(f"{c}.{h}").alias(h))
+    keyed = docs.withColumn(i, F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn(h, content)
+    return keyed.join(stay.distinct(), [i, h], "left_semi").dropDuplicates([i, h]).drop(i, h)
+
+
 def hex_fingerprint(fp: Column) -> Column:
     """16 lowercase hex digits of the unsigned value."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

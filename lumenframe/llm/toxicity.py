@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm.common import checkpointed
+from lumenframe.llm.common import checkpointed, own_name
 
 #: The fit uses at most so many labelled texts of each class, those with the
 #: smallest hashes of their ids; selection and counts cover all of these.
@@ -210,3 +210,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     model = fit(docs, labels)
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(model, F.col("text"), docs.sparkSession).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score below the threshold."""
+    (score,) = own_name(docs, "score__")
+    model = fit(docs, labels)
+    return docs.withColumn(score, score_column(model, F.col("text"), docs.sparkSession)).where(F.col(score) < threshold).drop(score)
