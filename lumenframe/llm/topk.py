@@ -87,7 +87,7 @@ class KDTree:
                     continue
                 part, score = part[some], score[some]
                 whole = np.where(np.isfinite(score), score, 0).astype(np.int64)
-                whole[~(score >= floor[part][:, None])] = _NONE
+                whole[~((score >= floor[part][:, None]) & (score > -np.inf))] = _NONE
                 s = np.concatenate([best[part], whole], axis=1)
                 i = np.concatenate([best_id[part], np.broadcast_to(self.ids[a:b], whole.shape)], axis=1)
                 i[s == _NONE] = _LONG

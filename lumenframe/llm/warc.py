@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm.common import shared_folder
+from lumenframe.llm.common import checkpointed, shared_folder
 
 MAGIC = b"\x1f\x8b\x08"
 #: Shorter payloads are always stored.
@@ -86,15 +86,27 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     ``MIN_REVISIT`` bytes, the row with the smallest id is stored (null ids
     come last; of rows that share that id, one) and the others refer to it.
     The lookup by digest combines on the map side; the join has plain
-    exchanges on both sides, so a hot digest is split.
+    exchanges on both sides, so a hot digest is split.  Rows are told apart by
+    their values only, so a task that runs again decides alike.
     """
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b"")).alias("payload")
-    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").alias("url"), payload).select("*", F.sha2("payload", 256).alias("digest"), F.monotonically_increasing_id().alias("at"))
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "at")
-    first = rows.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = first.select(F.reverse("digest").alias("key"), F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"))
-    joined = rows.withColumn("key", F.reverse("digest")).join(first, "key", "left")
-    return joined.select("id", "url", "payload", "digest", F.when((F.col("first_at") != F.col("at")), F.coalesce(F.col("first_id").cast("string"), F.lit(""))).alias("refers_to"))
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").alias("url"), payload).withColumn("digest", F.sha2("payload", 256))
+    counted = rows.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest", "id").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("n").alias("twins")))
+    found = counted.groupBy("digest").agg(first.alias("first"), F.sum("n").alias("n")).where("n > 1")
+    found = checkpointed(found.select(F.reverse("digest").alias("key"), "first.none", F.col("first.id").alias("first_id"), "first.twins"))
+    joined = rows.withColumn("key", F.reverse("digest")).join(found, "key", "left")
+    lead = F.col("first_id").eqNullSafe(F.col("id")) & F.col("twins").isNotNull()
+    name = F.coalesce(F.col("first_id").cast("string"), F.lit(""))
+    refers = F.when(F.col("twins").isNotNull() & ~lead, name)
+    out = ["id", "url", "payload", "digest"]
+    if found.where("twins > 1").isEmpty():
+        return joined.select(*out, refers.alias("refers_to"))
+    # rows that repeat a group's smallest id: one of them is stored
+    several = lead & (F.col("twins") > 1)
+    nth = F.row_number().over(Window.partitionBy("digest", "id").orderBy("url"))
+    twins = joined.where(several).withColumn("nth", nth).select(*out, F.when(F.col("nth") > 1, name).alias("refers_to"))
+    return joined.where(~F.coalesce(several, F.lit(False))).select(*out, refers.alias("refers_to")).union(twins)
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
