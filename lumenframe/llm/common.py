@@ -1,122 +1,11 @@
-"""What the operators of this subpackage share: shared folders, checkpoints,
-joins that survive hot keys, and connected components."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from lumenframe.runtime import checkpointed, components, dealt_key, hot_join, own_name, shared_folder, shared_root
 
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` cuts
 #: UTF-8 exactly there.
 WORD = r"[^\x20\x09-\x0D]+"
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is
-    unset, as in local tests, a temporary folder takes its place.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    current = context._jsc.sc().getCheckpointDir()
-    if named:
-        if current.isEmpty():
-            context.setCheckpointDir(named)
-        return named.rstrip("/")
-    if current.isEmpty():
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lumenframe-"))
-        current = context._jsc.sc().getCheckpointDir()
-    return current.get().rstrip("/")
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the application ends."""
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, lineage cut."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def own_name(df: DataFrame, *names: str) -> list[str]:
-    """Names like ``names`` that no column of ``df`` has."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name = "_" + name
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
-def dealt_key(key: Column) -> Column:
-    """A long join key that no earlier partitioning satisfies.
-
-    With it both sides of a sort-merge join get an exchange of their own,
-    which is what adaptive execution needs to split a hot key.
-    """
-    return F.bitwise_not(key)
-
-
-def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join on one long column that may have hot keys on the left.
-
-    Nulls in the key match nothing.  The key of the left side is kept.
-    """
-    (k,) = own_name(left, "k__")
-    other = right.select(dealt_key(F.col(key)).alias(k), *[c for c in right.columns if c != key])
-    return left.withColumn(k, dealt_key(F.col(key))).join(other, k, how).drop(k)
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of a graph by alternating stars.
-
-    ``edges`` has long columns ``a`` and ``b``.  Returns ``node`` and
-    ``root``, the smallest node of its component, for every node that has an
-    edge to another.  Large star hangs each larger neighbour below the
-    smallest one, small star does so for the smaller ones; the longest path
-    halves about every round.  Each round is checkpointed; the driver sees
-    only two sums.  No edges give no rows.
-    """
-
-    def least(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.min("v").alias("m"))
-
-    def large(e: DataFrame) -> DataFrame:
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-        m = least(both).select("u", F.least("u", "m").alias("m"))
-        return hot_join(both, m, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-
-    def small(e: DataFrame) -> DataFrame:
-        down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        m = least(down)
-        hung = hot_join(down, m, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        return hung.union(m.select("u", "m")).distinct()
-
-    def mark(e: DataFrame) -> tuple:
-        x = F.xxhash64("a", "b")
-        return tuple(e.agg(F.count("*"), F.sum(F.shiftright(x, 20)), F.bit_xor(x)).first())
-
-    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = mark(now)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
-        now = checkpointed(small(large(now)))
-        before, seen = seen, mark(now)
-        if before == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    if seen[0]:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+__all__ = ["WORD", "checkpointed", "components", "dealt_key", "hot_join", "own_name", "shared_folder", "shared_root"]
