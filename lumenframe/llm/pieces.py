@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-_CHUNK = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n+|[^{SPACE}\n]+")
 #: So many characters are handled at once; a longer text is a block of its own.
 BLOCK = 1_000_000
 #: Sums over words up to this length stay within doubles when scaled.
@@ -92,6 +91,8 @@ class Vocabulary:
                 at = (at + 1) & mask
             self.keys[at], self.next[at] = key, state
 
+        self.store = Store(self)
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
@@ -127,11 +128,9 @@ class Lattices:
     ``off[node + 1]``.
     """
 
-    def __init__(self, vocabulary: Vocabulary, words: Sequence[str]):
+    def __init__(self, vocabulary: Vocabulary, codes: np.ndarray, sizes: np.ndarray):
         v = vocabulary
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        word_of = np.repeat(np.arange(len(words)), sizes)
+        word_of = np.repeat(np.arange(len(sizes)), sizes)
         end_of = np.repeat(np.cumsum(sizes), sizes)
         classes = v.classes[np.minimum(codes, 0x10FFFF)]
         starts, states, found, depth = np.arange(len(codes)), np.zeros(len(codes), dtype=np.int32), [], 0
@@ -151,7 +150,7 @@ class Lattices:
             found.append((starts[has], pieces[has], v.logp[pieces[has]], depth))
             more = starts + depth < end_of[starts]
             starts, states = starts[more], states[more]
-        n_nodes = len(codes) + len(words)
+        n_nodes = len(codes) + len(sizes)
         self.first = np.cumsum(sizes + 1) - (sizes + 1)
         self.last = self.first + sizes
         counts = np.zeros(n_nodes + 1, dtype=np.int64)
@@ -248,6 +247,98 @@ class Lattices:
         return edges, at, counts
 
 
+class Store:
+    """Lattices of the words met so far, for a worker's later blocks.
+
+    The first ``most`` distinct words stay; those of a block that come later
+    are laid behind them and overwritten by the next block.  What a word's
+    lattice is doesn't depend on when it was built.  Words are found by a
+    hash of their characters and then compared.
+    """
+
+    WORDS, NODES, EDGES = ("first", "last"), ("off", "code"), ("piece", "step", "prob", "upto")
+
+    def __init__(self, vocabulary: Vocabulary, most: int = 150_000):
+        self.vocabulary, self.most = vocabulary, most
+        self.hashes, self.places = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)  # of words that stay, by hash
+        self.ends = (0, 0, 0)  # words, nodes and edges that stay
+        empty = Lattices(vocabulary, np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
+        self.arrays = {n: getattr(empty, n) for n in (*self.WORDS, *self.NODES, *self.EDGES)}
+        self.factors = np.zeros(0, dtype=np.uint64)
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        held = self.arrays[name]
+        if at + len(values) > len(held):
+            grown = np.empty(int(1.3 * (at + len(values))) + 1, dtype=held.dtype)
+            grown[:at] = held[:at]
+            held = self.arrays[name] = grown
+        held[at : at + len(values)] = values
+
+    def block(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[Lattices, np.ndarray]:
+        """Lattices that hold the words at ``starts``, and each word's place in them."""
+        within = np.arange(len(codes)) - np.repeat(starts, sizes)
+        if len(sizes) and sizes.max() > len(self.factors):
+            self.factors = np.random.default_rng(7).integers(1, 1 << 63, size=2 * int(sizes.max()), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        if len(sizes):
+            hashes = np.add.reduceat((codes.astype(np.uint64) + np.uint64(1)) * self.factors[within], starts)
+        else:
+            hashes = np.zeros(0, dtype=np.uint64)
+        distinct, example, word = np.unique(hashes, return_index=True, return_inverse=True)
+        out, place = self._lay(codes, starts, sizes, within, distinct, example)
+        word = place[word]
+        if not np.array_equal((out.last - out.first)[word], sizes) or not np.array_equal(out.code[np.repeat(out.first[word], sizes) + within], codes):
+            # two words with one hash: every word gets a lattice of its own
+            return Lattices(self.vocabulary, codes, sizes), np.arange(len(sizes))
+        return out, word
+
+    def _lay(self, codes, starts, sizes, within, distinct, example) -> tuple[Lattices, np.ndarray]:
+        at = np.searchsorted(self.hashes, distinct)
+        known = np.zeros(len(distinct), dtype=bool)
+        if len(self.hashes):
+            known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == distinct
+        w0, n0, e0 = self.ends
+        fresh = example[~known]
+        chosen = np.repeat(starts[fresh], sizes[fresh]) + _ramp(sizes[fresh])
+        new = Lattices(self.vocabulary, codes[chosen], sizes[fresh])
+        for name, to, shift in (("first", w0, n0), ("last", w0, n0), ("off", n0, e0), ("code", n0, 0), *((x, e0, 0) for x in self.EDGES)):
+            values = getattr(new, name)
+            self._put(name, to, values + shift if shift else values)
+        ends = w0 + len(new.first), n0 + len(new.code), e0 + len(new.piece)
+        place = np.empty(len(distinct), dtype=np.int64)
+        place[known] = self.places[at[known]]
+        place[~known] = w0 + np.arange(len(fresh))
+        if ends[0] <= self.most:
+            hashes, places = np.concatenate([self.hashes, distinct[~known]]), np.concatenate([self.places, place[~known]])
+            order = np.argsort(hashes)
+            self.hashes, self.places, self.ends = hashes[order], places[order], ends
+        out = Lattices.__new__(Lattices)
+        for names, end in ((self.WORDS, ends[0]), (("off",), ends[1] + 1), (("code",), ends[1]), (self.EDGES, ends[2])):
+            for name in names:
+                setattr(out, name, self.arrays[name][:end])
+        return out, place
+
+
+def _ramp(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each size, one after another."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def lay_out(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of the normalised texts, where words start, and where texts do (and end).
+
+    A word is spaces and what follows them, a run of line breaks, or what
+    follows these.
+    """
+    spelled = [normalise(t) for t in texts]
+    codes = np.frombuffer("".join(spelled).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    bounds = np.cumsum([0, *map(len, spelled)])
+    kind = np.where(codes == ord(SPACE), 1, np.where(codes == 10, 2, 0)).astype(np.int8)
+    new = np.zeros(len(codes), dtype=bool)
+    new[1:] = (kind[1:] != kind[:-1]) & ((kind[1:] > 0) | (kind[:-1] == 2))
+    new[bounds[:-1][bounds[:-1] < len(codes)]] = True
+    return codes, np.flatnonzero(new), bounds
+
+
 def row_seed(key: object, seed: int) -> int:
     return xxhash.xxh64_intdigest(("null" if key is None else str(key)).encode(), seed)
 
@@ -259,15 +350,11 @@ def sample_block(v: Vocabulary, keys: Sequence[object], texts: Sequence[str], k:
     A text with fewer segmentations gets all of them, and the log inclusion
     of all is 0.  The draws depend on the row's key and the text only.
     """
-    kinds: dict[str, int] = {}
-    chunks = [[kinds.setdefault(w, len(kinds)) for w in _CHUNK.findall(normalise(t))] for t in texts]
-    grid = Lattices(v, list(kinds))
-    sizes = (grid.last - grid.first)
-    word = np.fromiter((i for c in chunks for i in c), dtype=np.int64)
-    words_to = np.cumsum([0, *map(len, chunks)])
-    place = np.cumsum(sizes[word]) - sizes[word] if len(word) else np.zeros(0, dtype=np.int64)
-    n_chars = int(sizes[word].sum())
-    chars_to = np.append(place, n_chars)[words_to]
+    codes, place, chars_to = lay_out(texts)
+    n_chars = len(codes)
+    sizes = np.diff(place, append=n_chars)
+    grid, word = v.store.block(codes, place, sizes)
+    words_to = np.searchsorted(place, chars_to)
     first, last = grid.first[word], grid.last[word]
     draws = [np.random.Generator(np.random.Philox(key=row_seed(key, seed))) for key in keys]
 

@@ -87,7 +87,8 @@ def test_few_segmentations_all_come_back(vocabulary):
 
 def test_long_words_use_logs(vocabulary):
     long = "abcdefghij" * 40
-    grid = pieces.Lattices(vocabulary, [long, long[:100]])
+    codes = np.frombuffer((long + long[:100]).encode("utf-32-le"), dtype=np.uint32)
+    grid = pieces.Lattices(vocabulary, codes, np.array([400, 100]))
     sums = np.add.reduceat(grid.prob, grid.off[:-1][np.diff(grid.off) > 0])
     assert np.allclose(sums, 1)
 
@@ -104,3 +105,24 @@ def test_columns(spark, vocabulary):
     both = docs.select("text", pieces.encode_column(spark, MODEL, F.col("text")).alias("ids")).select("text", "ids", pieces.decode_column(spark, MODEL, F.col("ids")).alias("back"))
     for r in both.collect():
         assert r.ids == vocabulary.library.encode(r.text or "") and r.back == (r.text or "").replace("▁", " ")
+
+
+def test_words_are_cut_where_no_piece_crosses():
+    texts = ["a  b\n\nc d", "", "\nx", " "]
+    codes, starts, bounds = pieces.lay_out(texts)
+    spelled = "".join(map(pieces.normalise, texts))
+    assert [spelled[a:b] for a, b in zip(starts, [*starts[1:], len(spelled)])] == ["▁a", "▁▁b", "\n\n", "c", "▁d", "▁", "\n", "x", "▁▁"]
+    assert bounds.tolist() == [0, 10, 10, 13, 15]
+
+
+def test_a_full_store_and_equal_hashes_change_nothing(vocabulary):
+    texts = [f"word{i} some other{i % 7} text{i % 3}" for i in range(200)]
+    want = [[r[0].tolist() for r in rows] for rows in pieces.sample_block(vocabulary, range(200), texts)]
+    own = pieces.Vocabulary(open(MODEL, "rb").read())
+    own.store = pieces.Store(own, most=50)
+    for n in (3, 60, 200):
+        got = [[r[0].tolist() for r in rows] for a in range(0, 200, n) for rows in pieces.sample_block(own, range(a, min(a + n, 200)), texts[a : a + n])]
+        assert got == want
+    own.store = pieces.Store(own)
+    own.store.factors = np.full(1000, 1 << 62, dtype=np.uint64)  # most words collide
+    assert [[r[0].tolist() for r in rows] for rows in pieces.sample_block(own, range(200), texts)] == want
