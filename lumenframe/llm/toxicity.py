@@ -186,23 +186,27 @@ def score_column(model: Model, text: Column, spark) -> Column:
     @F.arrow_udf(T.DoubleType())
     def scored(texts: pa.Array) -> pa.Array:
         own = sent.value
-        weights, out = own.weights, np.empty(len(texts))
+        if _WORDS.get("of") is not own:
+            _WORDS.update(of=own, hits={})
+        hits_of, weights, out = _WORDS["hits"], own.weights, np.empty(len(texts))
         for i, x in enumerate(texts):
             hits: set[int] = set()
             for word in distinct_words(x.as_py()):
-                found = _CACHE.get(word)
+                found = hits_of.get(word)
                 if found is None:
-                    if len(_CACHE) > 300_000:
-                        _CACHE.clear()
-                    found = _CACHE[word] = features_of(word)
-                hits.update(found)
-            out[i] = own.bias + sum(weights[f] for f in sorted(hits & weights.keys()))
+                    if len(hits_of) > 200_000:
+                        hits_of.clear()
+                    found = hits_of[word] = tuple(f for f in features_of(word) if f in weights)
+                if found:
+                    hits.update(found)
+            out[i] = own.bias + sum(weights[f] for f in sorted(hits))
         return pa.array(1 / (1 + np.exp(-np.clip(out, -40, 40))))
 
     return scored(text)
 
 
-_CACHE: dict[str, tuple[int, ...]] = {}
+#: A worker's model, and which of its features each word seen has: nearly always none.
+_WORDS: dict = {}
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
