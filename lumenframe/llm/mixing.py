@@ -21,7 +21,7 @@ from lumenframe.llm.common import WORD, checkpointed, own_name
 
 PASSES = 3
 WEIGHTS = (1, 2, 3)
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> DataFrame:
