@@ -241,7 +241,11 @@ def initial_means(rows: DataFrame, columns: Sequence[str], k: int, method: str =
     if method == "kmeans":
         key = F.xxhash64(*[F.col(c) for c in columns])
         held = rows.select(*columns).dropna().orderBy(key).limit(sample).collect()
-        return numeric.kmeans(np.array([list(r) for r in held], dtype=float), k, seed=seed)
+        points = np.array([list(r) for r in held], dtype=float).reshape(-1, len(columns))
+        if len(points) < k:  # too few to part: spread around what there is
+            middle = points.mean(axis=0) if len(points) else np.full(len(columns), 1 / 3)
+            return middle + 0.05 * (np.arange(k) - (k - 1) / 2)[:, None]
+        return numeric.kmeans(points, k, seed=seed)
     axes = [axis_peaks(rows, c, k) for c in columns]
     return np.array([[axes[0][i], *[a[::-1][i] if k == 2 else a[i] for a in axes[1:]]] for i in range(k)])
 
@@ -361,7 +365,7 @@ def sampled_confusion(spark: SparkSession, model: Mixture, n: int = 100_000, see
 
 def accuracy(confusion: DataFrame, model: Mixture) -> float:
     """Share of right assignments, weighted by the components."""
-    return float(sum(r.share * model.weights[r.true] for r in confusion.where("true = assigned").collect()))
+    return float(sum(r.share * model.weights[r.true] for r in confusion.where(F.col("true") == F.col("assigned")).collect()))
 
 
 def misidentification_by_photons(accumulated: DataFrame, model: Mixture, bins: Sequence[float], n: int = 20_000, earliest: bool = True, estimator: str = "huber") -> DataFrame:
