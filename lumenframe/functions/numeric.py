@@ -56,7 +56,7 @@ def least_squares(residuals: Callable[[np.ndarray], np.ndarray], start: np.ndarr
         moved = False
         for _ in range(12):
             try:
-                step = np.linalg.solve(jtj + damping * np.diag(np.maximum(np.diag(jtj), 1e-12)), -g)
+                step = np.linalg.solve(jtj + damping * np.diag(np.maximum(np.diag(jtj), 1e-6 * np.diag(jtj).max() + 1e-300)), -g)
             except np.linalg.LinAlgError:
                 damping *= 10
                 continue

@@ -38,7 +38,8 @@ def start_values(smooth: np.ndarray, raw: np.ndarray, masks: Sequence[np.ndarray
     cy, cx = (y * w).sum() / total, (x * w).sum() / total
     vy, vx, vxy = (((y - cy) ** 2 * w).sum() / total, ((x - cx) ** 2 * w).sum() / total, ((y - cy) * (x - cx) * w).sum() / total)
     shape = [cy, cx, max(0.5, math.sqrt(vy) / 2), max(0.5, math.sqrt(vx) / 2)]
-    base = [max(float(raw[m].min()), 0.0) if m.any() else 0.0 for m in masks]
+    # a background of 0 has no slope to leave it by
+    base = [max(float(raw[m].min()), 1.0) if m.any() else 1.0 for m in masks]
     peak = [max(float(raw[m].max()) - b, 1.0) if m.any() else 1.0 for m, b in zip(masks, base)]
     return shape, [math.sqrt(p) for p in peak], [math.sqrt(b) for b in base], 0.5 * math.atan2(2 * vxy, vy - vx)
 

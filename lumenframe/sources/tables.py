@@ -135,7 +135,7 @@ def vendor_roi(text: Column) -> Column:
 
 def metadata_of(spark: SparkSession, folder: str, fallback: tuple[int, int, int, int] | None = None) -> DataFrame:
     """Metadata of all ``*_metadata.txt`` files below a folder, a row each."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*_metadata.txt").text(folder)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_metadata.txt").text(folder, wholetext=True)
     m = imaging_metadata(F.col("value"))
     out = files.select(exprs.fov_name(F.input_file_name()).alias("fov_name"), m.alias("m"), frame_count(F.col("value")).alias("n_frames"))
     cols = [F.coalesce(F.col(f"m.{k}"), F.lit(fallback[i] if fallback else None)).alias(k) for i, k in enumerate(("x", "y", "width", "height"))]

@@ -20,9 +20,10 @@ def stream_links(locs: DataFrame, d_max: float, dark: int, late_frames: int = 1,
     """Optimal links of a stream of localisations, a field of view a key.
 
     State is the open tracks and the rows of frames not yet complete.  A
-    frame is complete once one ``late_frames`` later has been seen (or the
-    key falls silent); rows that come later still are dropped, as those behind
-    a watermark are.  Same links as the batch operator on ordered input.
+    frame is complete once one ``late_frames`` later has been seen; rows
+    that come later still are dropped, as those behind a watermark are, and
+    the last frames wait for more.  Same links as the batch operator on
+    ordered input.
     """
 
     def run(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -41,22 +42,18 @@ def stream_links(locs: DataFrame, d_max: float, dark: int, late_frames: int = 1,
         newest = max(waiting, default=done)
         out = []
         for f in sorted(waiting):
-            if f > newest - late_frames and not state.hasTimedOut:
+            if f > newest - late_frames:
                 break
             rows = sorted(waiting.pop(f))
             values = np.array([r[1:] for r in rows])
             out += [(key[0], r[0], f, t) for r, t in zip(rows, tracks.step(f, values[:, :2], values[:, 2:]))]
             done = f
         saved = {"ids": tracks.ids, "seen": [int(s) for s in tracks.seen], "places": [list(map(float, p)) for p in tracks.places], "colours": [list(map(float, c)) for c in tracks.colours], "next_id": tracks.next_id, "done": done}
-        if state.hasTimedOut and not waiting:
-            state.remove()
-        else:
-            state.update((json.dumps(saved), json.dumps(waiting)))
-            state.setTimeoutDuration(60_000)
+        state.update((json.dumps(saved), json.dumps(waiting)))
         yield pd.DataFrame(out, columns=["fov_index", "loc_id", "frame", "track_id"])
 
     rows = locs.select("fov_index", "loc_id", "frame", "xc", "yc", "A_B", "A_G", "A_R")
-    return rows.groupBy("fov_index").applyInPandasWithState(run, OUT, STATE, "append", "ProcessingTimeTimeout")
+    return rows.groupBy("fov_index").applyInPandasWithState(run, OUT, STATE, "append", "NoTimeout")
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
