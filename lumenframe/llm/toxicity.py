@@ -194,7 +194,7 @@ def score_column(model: Model, text: Column, spark) -> Column:
             for word in distinct_words(x.as_py()):
                 found = hits_of.get(word)
                 if found is None:
-                    if len(hits_of) > 200_000:
+                    if len(hits_of) > 100_000:
                         hits_of.clear()
                     found = hits_of[word] = tuple(f for f in features_of(word) if f in weights)
                 if found:
