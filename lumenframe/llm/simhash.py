@@ -70,7 +70,9 @@ def links(fingerprints: DataFrame) -> DataFrame:
     edges through its shared bucket.
     """
     flips = F.array(*[F.lit(0 if i == 64 else 1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(65)])
-    balls = fingerprints.select("fp", F.explode(flips).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"), "flip")
+    # a ball is 65 times its fingerprint, so few rows of input make a large task
+    n = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    balls = fingerprints.repartition(n, "fp").select("fp", F.explode(flips).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"), "flip")
     buckets = balls.groupBy("variant").agg(F.bit_or("flip").alias("mask"), F.max(F.col("flip") == 0).alias("centre"))
     met = buckets.where(F.bit_count("mask") + F.col("centre").cast("int") > 1)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))
