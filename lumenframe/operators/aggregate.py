@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,38 @@ from lumenframe.functions.exprs import inverse_error_mean, weighted_mean
 from lumenframe.schema import AMPLITUDES, BACKGROUNDS
 
 
+def exact_percentile(df: DataFrame, column: str | Column, q: float = 0.5, most: int = 2_000_000) -> float | None:
+    """Interpolated percentile of all rows, now; None without rows.
+
+    An exact percentile keeps every distinct value in one task, so above
+    ``most`` rows the range that holds the wanted ranks is narrowed first:
+    approximate percentiles give its ends, counts prove that the ranks lie
+    inside, and only what is inside goes on.
+    """
+    x = (F.col(column) if isinstance(column, str) else column).cast("double").alias("x")
+    part = df.select(x).where("x IS NOT NULL")
+    n, below = part.count(), 0
+    if not n:
+        return None
+    place = q * (n - 1)
+    ranks, held, reach = (math.floor(place), math.ceil(place)), n, 1e-3
+    while held > most:
+        r = (ranks[0] - below) / held
+        a, b = part.agg(F.percentile_approx("x", [max(0.0, r - reach), min(1.0, r + reach)], 100_000)).first()[0]
+        under, inside = part.agg(F.count_if(F.col("x") < a), F.count_if(F.col("x").between(a, b))).first()
+        if not (below + under <= ranks[0] and ranks[1] < below + under + inside):
+            reach *= 4
+            continue
+        if a == b:
+            return a
+        if inside == held:
+            break  # it can't be narrowed any more
+        part, below, held = part.where(F.col("x").between(a, b)), below + under, inside
+    at = [(k - below) / max(1, held - 1) for k in ranks]
+    low, high = part.agg(F.percentile("x", F.array(*[F.lit(v) for v in at]))).first()[0]
+    return low + (place - ranks[0]) * (high - low)
+
+
 def molecules(locs: DataFrame, label: str = "molecular_index", keys: Sequence[str] = ()) -> DataFrame:
     """One row for each label >= 0.
 
@@ -73,20 +106,21 @@ def linked_events(locs: DataFrame, n_frames: int, group: str = "link_group", amb
     ``n_frames - 1`` or later ("frames") or ``n_frames`` or later ("movie").
     """
     weighted = [c for c in ("xc", "yc", "s_x", "s_y", *AMPLITUDES) if c in locs.columns and f"{c}_err" in locs.columns]
-    medians = locs.agg(*[F.percentile(F.when(F.col(f"{c}_err") > 0, F.col(f"{c}_err")), F.lit(0.5)).alias(f"m__{c}") for c in weighted]) if weighted else None
-    rows = locs.crossJoin(F.broadcast(medians)) if weighted else locs
+    good = {c: (F.col(f"{c}_err") > 0) & ~F.isnan(f"{c}_err") for c in weighted}
+    poor = locs.agg(*[F.max((~F.coalesce(g, F.lit(False))).cast("int")).alias(c) for c, g in good.items()]).first() if weighted else {}
+    medians = {c: exact_percentile(locs.where(good[c]), f"{c}_err") or 1.0 for c in weighted if poor[c]}
     out = [F.min("frame").alias("frame"), F.max("frame").alias("last_frame"), F.count("*").alias("n")]
     for c, t in locs.dtypes:
         if c in ("frame", group, *keys) or t not in ("double", "float", "int", "bigint"):
             continue
         if c in weighted:
-            e = F.when(F.col(f"{c}_err") > 0, F.col(f"{c}_err")).otherwise(F.col(f"m__{c}"))
+            e = F.when(good[c], F.col(f"{c}_err")).otherwise(F.lit(medians[c])) if c in medians else F.col(f"{c}_err")
             out.append(weighted_mean(F.col(c), 1.0 / (e * e)).alias(c))
         elif c in ("photons", "background_photons", *BACKGROUNDS):
             out.append(F.sum(c).alias(c))
         else:
             out.append(F.avg(c).alias(c))
-    events = rows.groupBy(*keys, group).agg(*out).withColumn("len", F.col("last_frame") - F.col("frame") + 1)
+    events = locs.groupBy(*keys, group).agg(*out).withColumn("len", F.col("last_frame") - F.col("frame") + 1)
     if "photons" in locs.columns:
         events = events.withColumn("photon_rate", F.col("photons") / F.col("n"))
     if ambiguous:

@@ -62,7 +62,7 @@ def joint_clusters(locs: DataFrame, d: float, least: int, spatial: Sequence[str]
     if the sum over axes of (difference / combined error)^2 is below d^2.
     """
     rows = ensure_loc_id(locs)
-    median = rows.agg(F.percentile(f"{spatial[0]}_err", F.lit(0.5))).first()[0]
+    median = aggregate.exact_percentile(rows, f"{spatial[0]}_err")
     if median is None:
         return rows.withColumn(out, F.lit(-1).cast("long"))
     axes = [*spatial, *spectral]

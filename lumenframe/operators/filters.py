@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.operators.aggregate import exact_percentile
 from lumenframe.schema import AMPLITUDES, BACKGROUNDS, require
 
 
@@ -19,8 +20,8 @@ def quality(df: DataFrame, chi: float | None = None, position_error: float | Non
     """Rows strictly inside all the given bounds.
 
     Without ``chi`` the limit is the median of ``chi_sqr`` in the unfiltered
-    input, one row that is joined to the others.  Colour errors are tested as
-    they stand in the table.
+    input, computed when called.  Colour errors are tested as they stand in
+    the table.
     """
     keep = F.lit(True)
     for names, limit in ((("xc_err", "yc_err"), position_error), (tuple(f"{c}_err" for c in AMPLITUDES + BACKGROUNDS), colour_error), (("s_x_err", "s_y_err"), sigma_error)):
@@ -33,8 +34,8 @@ def quality(df: DataFrame, chi: float | None = None, position_error: float | Non
                 keep &= (F.col(c) > bounds[0]) & below(c, bounds[1])
     if chi is not None:
         return df.where(keep & below("chi_sqr", chi))
-    median = df.agg(F.percentile("chi_sqr", F.lit(0.5)).alias("median__"))
-    return df.crossJoin(F.broadcast(median)).where(keep & below("chi_sqr", F.col("median__"))).drop("median__")
+    median = exact_percentile(df, "chi_sqr")
+    return df.where(keep & (below("chi_sqr", median) if median is not None else F.lit(False)))
 
 
 def physical(df: DataFrame, width: float, height: float) -> DataFrame:

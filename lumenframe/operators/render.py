@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import numeric
+from lumenframe.operators.aggregate import exact_percentile
 
 View = tuple[float, float, float, float]  # y0, x0, y1, x1
 
@@ -113,7 +114,7 @@ def render_smooth(locs: DataFrame, oversampling: float, view: View) -> DataFrame
 def render_convolve(locs: DataFrame, oversampling: float, view: View, least: float = 0.0) -> DataFrame:
     """Histogram blurred by the median position error."""
     rows = in_view(locs, oversampling, view)
-    sx, sy = rows.agg(F.percentile("xc_err", F.lit(0.5)), F.percentile("yc_err", F.lit(0.5))).first()
+    sx, sy = (exact_percentile(rows, c) for c in ("xc_err", "yc_err"))
     sx, sy = (max(v or 0.0, least) * oversampling for v in (sx, sy))
     return convolve(histogram(locs, oversampling, view), sx, sy, *shape(oversampling, view))
 

@@ -95,3 +95,17 @@ def test_relative_efficiency_repeats_edges(spark):
 def test_schema():
     assert localisation_schema()["frame"].dataType.typeName() == "integer"
     assert len(localisation_columns()) == 22 and localisation_columns(True)[-1] == "theta_err"
+
+
+@pytest.mark.parametrize("most", [50, 10**6])
+def test_percentiles_by_narrowing_are_exact(spark, most):
+    import random
+
+    rnd = random.Random(0)
+    for values in ([rnd.gauss(0, 1) for _ in range(2001)], [float(rnd.randrange(5)) for _ in range(3000)], [1.0], [2.0, 5.0]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        for q in (0.0, 0.25, 0.5, 0.93, 1.0):
+            place, v = q * (len(values) - 1), sorted(values)
+            want = v[math.floor(place)] + (place - math.floor(place)) * (v[math.ceil(place)] - v[math.floor(place)])
+            assert aggregate.exact_percentile(df, "v", q, most) == pytest.approx(want, abs=1e-9)
+    assert aggregate.exact_percentile(df.limit(0), "v") is None
