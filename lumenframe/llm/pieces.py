@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenframe.llm.common import tidy
+
 SPACE = "▁"
 #: So many characters are handled at once; a longer text is a block of its own.
 BLOCK = 1_000_000
@@ -258,7 +260,7 @@ class Store:
 
     WORDS, NODES, EDGES = ("first", "last"), ("off", "code"), ("piece", "step", "prob", "upto")
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 150_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 60_000):
         self.vocabulary, self.most = vocabulary, most
         self.hashes, self.places = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)  # of words that stay, by hash
         self.ends = (0, 0, 0)  # words, nodes and edges that stay
@@ -546,7 +548,7 @@ def sample_column(spark: SparkSession, model_path: str, key: Column, text: Colum
         fields = kinds.value_type
         arrays = [pa.array(c, type=fields.field(j).type) for j, c in enumerate(columns)] + [ids]
         rows = pa.StructArray.from_arrays(arrays, fields=list(fields))
-        return pa.ListArray.from_arrays(pa.array(row_ends, type=pa.int32()), rows)
+        return tidy(pa.ListArray.from_arrays(pa.array(row_ends, type=pa.int32()), rows))
 
     return sampled(key, text)
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm.common import own_name
+from lumenframe.llm.common import own_name, tidy
 
 SPACES = b" \t\n\x0b\x0c\r"
 _NOT_A_CODE_POINT = SPACES + bytes(range(0x80, 0xC0))
@@ -67,7 +67,7 @@ def measure(text: bytes | None, window: int = 3) -> tuple[int, ...]:
 def _measures(texts: pa.Array) -> pa.Array:
     rows = [measure(x.as_py()) for x in texts.cast(pa.large_binary())]
     columns = zip(*rows) if rows else [()] * len(MEASURES)
-    return pa.StructArray.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=list(MEASURES))
+    return tidy(pa.StructArray.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=list(MEASURES)))
 
 
 @dataclass(frozen=True)

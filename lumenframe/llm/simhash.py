@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm.common import checkpointed, components, hot_join, own_name
+from lumenframe.llm.common import checkpointed, components, hot_join, own_name, tidy
 
 SHINGLE = 3
 RADIUS = 1  # half the greatest linked distance
@@ -54,7 +54,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 def _fingerprints(texts: pa.Array) -> pa.Array:
     raw = texts.cast(pa.large_binary())
     out = np.fromiter((fingerprint(x.as_py()) for x in raw), dtype=np.uint64, count=len(raw))
-    return pa.array(out.view(np.int64))
+    return tidy(pa.array(out.view(np.int64)))
 
 
 def fingerprint_column(text: Column) -> Column:

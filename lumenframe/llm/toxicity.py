@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm.common import checkpointed, own_name
+from lumenframe.llm.common import checkpointed, own_name, tidy
 
 #: The fit uses at most so many labelled texts of each class, those with the
 #: smallest hashes of their ids; selection and counts cover all of these.
@@ -200,7 +200,7 @@ def score_column(model: Model, text: Column, spark) -> Column:
                 if found:
                     hits.update(found)
             out[i] = own.bias + sum(weights[f] for f in sorted(hits))
-        return pa.array(1 / (1 + np.exp(-np.clip(out, -40, 40))))
+        return tidy(pa.array(1 / (1 + np.exp(-np.clip(out, -40, 40)))))
 
     return scored(text)
 
