@@ -21,7 +21,9 @@ from lumenframe.llm.common import WORD, checkpointed, own_name
 
 PASSES = 3
 WEIGHTS = (1, 2, 3)
-BUCKET_ROWS = 1024
+BUCKET_ROWS = 256
+#: At most so many buckets of a source and slots of virtual time are added up in order.
+BUCKETS, SLOTS = 1 << 20, 1 << 16
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> DataFrame:
@@ -64,7 +66,8 @@ def mix(docs: DataFrame, seed: str = "mix", bucket_rows: int = BUCKET_ROWS, keep
     wanted = checkpointed(targets(rows))
     summed = rows.agg(F.count("*"), F.sum("size")).first()
     n, budget = summed[0], summed[1] or 0
-    buckets = max(1, -(-n // bucket_rows))
+    wished = max(1, -(-n // bucket_rows))
+    buckets, n_slots = min(BUCKETS, wished), min(SLOTS, wished)
 
     # words before each bucket of each source
     name = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("name")
@@ -80,7 +83,7 @@ def mix(docs: DataFrame, seed: str = "mix", bucket_rows: int = BUCKET_ROWS, keep
     time = lambda i: F.when(F.col("target") > 0, (F.col("end") + F.col("source_size") * F.lit(i)).cast("double") / F.col("target")).otherwise(F.lit(0.0))
     served = queued.where("size > 0").select("size", "name", "key", F.explode(F.array(*[time(i) for i in range(PASSES)])).alias("time"))
     # in equal times all sources together give equally many words
-    slot = F.least(F.floor(F.col("time") * F.lit(buckets)), F.lit(4 * buckets)).alias("slot")
+    slot = F.least(F.floor(F.col("time") * F.lit(n_slots)), F.lit(4 * n_slots)).alias("slot")
     slots = served.groupBy(slot).agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(Window.orderBy("slot"))
     cut = slots.select("slot", (upto - F.col("words")).alias("before"), upto.alias("upto")).where(F.col("upto") > budget).orderBy("slot").first()
@@ -92,7 +95,7 @@ def mix(docs: DataFrame, seed: str = "mix", bucket_rows: int = BUCKET_ROWS, keep
         near = served.withColumn("slot", slot).where(F.col("slot") == cut["slot"])
         last = near.select(order.alias("o"), run.alias("run")).where(F.col("run") <= budget).agg(F.max("o")).first()[0]
         at = lambda i: F.struct(time(i).alias("time"), "name", "key", "size")
-        early = lambda i: F.least(F.floor(time(i) * F.lit(buckets)), F.lit(4 * buckets)) < cut["slot"]
+        early = lambda i: F.least(F.floor(time(i) * F.lit(n_slots)), F.lit(4 * n_slots)) < cut["slot"]
         if last is None:
             inside_mix = early
         else:
