@@ -649,11 +649,11 @@ dup AS (SELECT DISTINCT fov_index, g FROM (SELECT fov_index, g, frame FROM f GRO
 c AS (SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM dup WHERE dup.fov_index = f.fov_index AND dup.g = f.g)),
 m AS (SELECT fov_index, g, quantile_cont(xc, 0.5) AS mx FROM c GROUP BY 1, 2),
 dr AS (SELECT c.fov_index, c.frame, sum((xc - mx) / (xc_err + 1e-10)) / sum(1 / (xc_err + 1e-10)) AS dx FROM c JOIN m ON c.fov_index = m.fov_index AND c.g = m.g GROUP BY 1, 2)
-SELECT loc_id, {r('xc - dx', 'xc')}, loc_id IN (SELECT loc_id FROM c) AS is_fiducial FROM locs JOIN dr ON locs.fov_index = dr.fov_index AND locs.frame = dr.frame""")
+SELECT loc_id, {r(f'(xc - dx) * {PIXEL_NM}', 'x_nm')}, loc_id IN (SELECT loc_id FROM c) AS is_fiducial FROM locs JOIN dr ON locs.fov_index = dr.fov_index AND locs.frame = dr.frame""")
 def _(spark, d):
     t = locs(spark, d)
     fid = t.where("molecular_index % 9 = 0").withColumn("group", (F.col("molecular_index") % 4).cast("int"))
-    return drift.correct_by_validated(t, fid).select("loc_id", "xc", "is_fiducial")
+    return drift.correct_by_validated(t, fid).select("loc_id", exprs.to_nm(F.col("xc"), PIXEL_NM).alias("x_nm"), "is_fiducial")
 
 
 @query("aim_shift_counts", """
