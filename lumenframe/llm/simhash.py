@@ -8,10 +8,18 @@ variant with single bits flipped, so a 64-bit mask and a flag hold the whole
 bucket: the aggregation has a fixed-size buffer, combines on the map side and
 never lists a group.  Within a bucket all members are linked with each other;
 a star around one of them keeps the bucket connected without all its pairs.
+
+That is the op1 query.  ``near_copies`` looks for texts whose sets of five-word
+shingles have a Jaccard similarity of 0.8 or more, which differ in some 15 % of
+their SimHash bits, too many for a ball.  It takes ``WIDE`` bits, lets
+texts meet in ``BLOCKS`` blocks of ``BLOCK_BITS`` of them, and compares the
+whole shingle sets of those that met.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,6 +32,14 @@ from lumenframe.llm.common import checkpointed, components, hot_join, own_name,
 SHINGLE = 3
 RADIUS = 1  # half the greatest linked distance
 
+COPY_SHINGLE = 5
+SIMILARITY = 0.8
+WIDE = 512
+BLOCKS, BLOCK_BITS = 96, 18
+CHECK_RADIUS = 20  # of the first 64 bits; a pair at the least similarity has 9.7 +- 2.9, an unrelated one 32 +- 4
+CROWD, NEAREST = 64, 8  # a bucket with more members is crowded; first links of a member there
+_PLACES = np.random.default_rng(5).permuted(np.tile(np.arange(WIDE), (BLOCKS, 1)), axis=1)[:, :BLOCK_BITS]
+
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """The unsigned SimHash of one text.
@@ -119,6 +135,161 @@ def representatives(docs: DataFrame) -> DataFrame:
     return keyed.join(stay.distinct(), [i, h], "left_semi").dropDuplicates([i, h]).drop(i, h)
 
 
+def shingles(text: bytes | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """The sorted distinct XXH64 values of a text's shingles, words and shingles as in ``fingerprint``."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.zeros(0, dtype="<u8")
+    parts = [b" ".join(words)] if len(words) <= shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+    h64 = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((h64(x, 42) for x in parts), dtype="<u8"))
+
+
+def wide_bits(hashes: np.ndarray) -> np.ndarray:
+    """``WIDE`` SimHash bits of a set of shingles, each counted once."""
+    votes = np.zeros(WIDE, dtype=np.int64)
+    steps = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), 1 << 12):
+        x = hashes[at : at + (1 << 12), None] + steps  # SplitMix64 makes more bits of one hash
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x = (x ^ (x >> np.uint64(31))).astype("<u8")
+        votes += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return (2 * votes > len(hashes)).astype(np.uint8)
+
+
+@F.arrow_udf(T.StructType([T.StructField("check", T.LongType()), T.StructField("keys", T.ArrayType(T.IntegerType()))]))
+def _meeting_keys(texts: pa.Array) -> pa.Array:
+    raw = texts.cast(pa.large_binary())
+    check, keys = np.zeros(len(raw), dtype="<i8"), np.zeros((len(raw), BLOCKS), dtype=np.int32)
+    powers, blocks = 1 << np.arange(BLOCK_BITS), np.arange(BLOCKS) << BLOCK_BITS
+    for i, x in enumerate(raw):
+        bits = wide_bits(shingles(x.as_py()))
+        check[i] = np.packbits(bits[:64], bitorder="little").view("<i8")[0]
+        keys[i] = bits[_PLACES] @ powers + blocks
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1) * BLOCKS, type=pa.int32()), pa.array(keys.ravel()))
+    return tidy(pa.StructArray.from_arrays([pa.array(check), lists], names=["check", "keys"]))
+
+
+@F.arrow_udf(T.BinaryType())
+def _shingle_set(texts: pa.Array) -> pa.Array:
+    return tidy(pa.array([shingles(x.as_py()).tobytes() for x in texts.cast(pa.large_binary())], type=pa.binary()))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+@F.arrow_udf(T.BooleanType())
+def _similar(a: pa.Array, b: pa.Array) -> pa.Array:
+    pairs = ((np.frombuffer(x.as_py(), dtype="<u8"), np.frombuffer(y.as_py(), dtype="<u8")) for x, y in zip(a, b))
+    return tidy(pa.array([jaccard(x, y) >= SIMILARITY for x, y in pairs], type=pa.bool_()))
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
+def _met(key: np.ndarray, node: np.ndarray, check: np.ndarray, root: np.ndarray | None, crowd: int = CROWD) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes in equal keys within ``CHECK_RADIUS``.
+
+    Without roots a crowded bucket gives each member's nearest few only, and
+    the member with itself; with roots every pair of different roots.
+    """
+    order = np.argsort(key, kind="stable")
+    key, node, check = key[order], node[order], check[order]
+    root = None if root is None else root[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=int)
+    sizes = np.diff(np.r_[starts, len(key)])
+    calm = np.repeat(sizes <= crowd, sizes)
+    out = []
+    for d in range(1, min(crowd, int(sizes.max(initial=0)))):
+        i = np.flatnonzero((key[d:] == key[:-d]) & calm[d:])
+        i = i[_apart(check[i], check[i + d]) <= CHECK_RADIUS]
+        if root is not None:
+            i = i[root[i] != root[i + d]]
+        out.append((node[i], node[i + d]))
+    for s, n in zip(starts[sizes > crowd], sizes[sizes > crowd]):
+        ids, words = node[s : s + n], check[s : s + n]
+        for at in range(0, n, 256):
+            far = _apart(words[at : at + 256, None], words[None, :])
+            if root is None:
+                some = min(NEAREST + 1, n)  # a member is its own nearest
+                near = np.argpartition(far, some - 1, axis=1)[:, :some]
+                i, j = np.repeat(np.arange(len(far)), some), near.ravel()
+                keep = far[i, j] <= CHECK_RADIUS
+                i, j = i[keep], j[keep]
+            else:
+                groups = root[s : s + n]
+                i, j = np.nonzero((far <= CHECK_RADIUS) & (groups[at : at + 256, None] != groups[None, :]))
+            out.append((ids[at : at + 256][i], ids[j]))
+        if root is None:
+            out.append((ids, ids))
+    return out
+
+
+def _meetings(nodes: DataFrame, crowd: int) -> DataFrame:
+    """Distinct pairs ``a`` <= ``b`` of ``node`` that meet in a key; see ``_met`` for those with and without ``root``."""
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    more = ["root"] if "root" in nodes.columns else []
+    rows = nodes.repartition(n, "node").select("node", "check", *more, F.explode("keys").alias("key")).repartition(n, "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "check", *more)] for b in batches]
+        if held:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            for a, b in _met(*columns, *[] if more else [None], crowd=crowd):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_copies(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """One row of ``docs`` for each group of near copies, all columns as they are.
+
+    Texts are near copies if the Jaccard similarity of their sets of five-word
+    shingles is ``SIMILARITY`` or more; groups are chains of such pairs.  Each
+    linked pair is verified on its whole sets.  A pair at the least similarity
+    meets in a block with a probability of some 0.99, a more similar one
+    more likely.  In a crowded bucket members are linked to their nearest
+    first; then every pair that these links did not join is compared.  Which
+    row stays, and nulls, as in ``representatives``; texts without words form
+    a group.
+    """
+    c, h, i, none = own_name(docs, "content__", "hash__", "id__", "none__")
+    content = F.xxhash64(F.coalesce("text", F.lit("")))
+    made = docs.select("doc_id", content.alias("node"), _meeting_keys(F.col("text")).alias("made"))
+    prints = checkpointed(made.select("doc_id", "node", "made.check", "made.keys"))
+    nodes = checkpointed(prints.select("node", "check", "keys").dropDuplicates(["node"]))
+    met = checkpointed(_meetings(nodes, crowd))
+    crowded = met.where("a = b").select(F.col("a").alias("node"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = hot_join(docs.select(content.alias("node"), "text"), wanted, "node").dropDuplicates(["node"])
+        sets = checkpointed(sets.select("node", _shingle_set(F.col("text")).alias("set")))
+        left = hot_join(pairs, sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+        both = hot_join(left, sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+        return checkpointed(both.where(_similar(F.col("set_a"), F.col("set_b"))).select("a", "b"))
+
+    def rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
+        joined = hot_join(rows, components(edges), "node", "left")
+        return joined.withColumn("root", F.coalesce("root", "node"))
+
+    edges = verified(met.where("a <> b"))
+    if not crowded.isEmpty():
+        again = checkpointed(_meetings(rooted(hot_join(nodes, crowded, "node"), edges), crowd).where("a <> b"))
+        edges = edges.union(verified(again))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias(none), F.col("doc_id").alias(i), F.col("node").alias(h))).alias(c)
+    stay = rooted(prints.select("doc_id", "node"), edges).groupBy("root").agg(first)
+    stay = stay.select(F.coalesce(F.col(f"{c}.{i}").cast("string"), F.lit("null")).alias(i), F.col(f"{c}.{h}").alias(h))
+    keyed = docs.withColumn(i, F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn(h, content)
+    return keyed.join(stay.distinct(), [i, h], "left_semi").dropDuplicates([i, h]).drop(i, h)
+
+
 def hex_fingerprint(fp: Column) -> Column:
     """16 lowercase hex digits of the unsigned value."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -87,3 +87,39 @@ def test_groups_with_nulls_ties_and_repeats(spark):
     assert kept.columns == docs.columns
     assert kept.count() == len(set(group.values()))
     assert simhash.representatives(docs.limit(0)).count() == 0
+
+
+def plain_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) > 5 else {" ".join(words)} if words else set()
+
+
+def plain_jaccard(a, b):
+    a, b = plain_set(a), plain_set(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 2])
+def test_planted_edited_copies_go(spark, crowd):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    rows, least = [(0, None), (1, " "), (2, "few words"), (None, "few words")], {}
+    for g in range(40):
+        base = [word() for _ in range(rnd.randrange(80, 300))]
+        rows.append((g * 100 + 10, " ".join(base)))
+        for c in range(30 if g == 0 else 3):
+            copy = list(base)
+            for _ in range(rnd.randrange(1, len(base) // 40 + 2)):
+                copy[rnd.randrange(len(copy))] = word()
+            rows.append((g * 100 + 11 + c, " ".join(copy)))
+    near = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if plain_jaccard(rows[a][1], rows[b][1]) >= 0.8]
+    assert sum(plain_jaccard(rows[a][1], rows[b][1]) < 0.9 for a, b in near) > 50
+    group = roots(range(len(rows)), near)
+    for k, (d, _) in enumerate(rows):
+        least[group[k]] = min((x for x in (least.get(group[k]), d) if x is not None), default=None)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash__", F.lit(1))
+    kept = simhash.near_copies(docs, crowd)
+    assert kept.columns == docs.columns
+    got, want = sorted(r.doc_id for r in kept.collect()), sorted(least.values())
+    assert set(want) <= set(got) and len(got) <= len(want) + 2
+    assert simhash.near_copies(docs.limit(0)).count() == 0
