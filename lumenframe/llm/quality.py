@@ -108,6 +108,15 @@ def policy_mask(policy: str, policies: Mapping[str, Sequence[str]] = POLICIES, r
     return mask
 
 
+def failed_bits(rules: Sequence[Rule] = RULES, measures: str = "") -> Column:
+    """The mask of the rules that fail, from measurement columns or the struct of them named ``measures``."""
+    failed = F.lit(0).cast("long")
+    for i, r in enumerate(rules):
+        fails = re.sub(rf"\b({'|'.join(MEASURES)})\b", rf"{measures}.\1", r.fails) if measures else r.fails
+        failed = failed.bitwiseOR(F.when(F.expr(fails), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+    return failed
+
+
 def ledger(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """``docs`` with its text replaced by the measurements and ``failed``.
 
@@ -122,11 +131,7 @@ def ledger(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULE
     kept = [F.col(f"`{c}`") for c in docs.columns if c != text_col and c.lower() not in made]
     measured = docs.select(*kept, _measures(F.col(f"`{text_col}`")).alias(m))
     flat = measured.select(*kept, *[F.col(f"{m}.{x}").alias(x) for x in MEASURES])
-    bits = [F.when(F.expr(r.fails), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, r in enumerate(rules)]
-    failed = bits[0]
-    for b in bits[1:]:
-        failed = failed.bitwiseOR(b)
-    return flat.withColumn("failed", failed)
+    return flat.withColumn("failed", failed_bits(rules))
 
 
 def passes(policy: str = CURRENT, failed: Column | None = None) -> Column:
@@ -135,17 +140,10 @@ def passes(policy: str = CURRENT, failed: Column | None = None) -> Column:
 
 
 def keep(docs: DataFrame, policy: str = CURRENT, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text passes a policy."""
-    (m,) = own_name(docs, "measures__")
-    measured = docs.withColumn(m, _measures(F.col(f"`{text_col}`")))
-    rejects = {r.name: r.fails for r in RULES}
-    fails = F.lit(False)
-    for name in POLICIES[policy]:
-        predicate = rejects[name]
-        for x in MEASURES:
-            predicate = re.sub(rf"\b{x}\b", f"{m}.{x}", predicate)
-        fails = fails | F.expr(predicate)
-    return measured.where(~fails).drop(m)
+    """The rows of ``docs``, all columns as they are, whose ledger mask passes a policy."""
+    m, f = own_name(docs, "measures__", "failed__")
+    measured = docs.withColumn(m, _measures(F.col(f"`{text_col}`"))).withColumn(f, failed_bits(measures=m))
+    return measured.where(passes(policy, F.col(f))).drop(m, f)
 
 
 def ablation(ledger_rows: DataFrame, policy: str = CURRENT, rules: Sequence[Rule] = RULES) -> DataFrame:

@@ -41,3 +41,10 @@ def test_ledger_policies_and_ablation(spark):
         if rule.name in quality.POLICIES[quality.CURRENT]:
             assert table[rule.name] == (sum(m >> i & 1 for m in masks), sum(m == 1 << i for m in masks))
     assert quality.ledger(docs.limit(0)).count() == 0
+
+
+def test_keep_filters_with_the_ledger_mask(spark):
+    docs = spark.createDataFrame([(1, "few")], "doc_id long, text string")
+    for policy in quality.POLICIES:
+        plan = quality.keep(docs, policy)._jdf.queryExecution().optimizedPlan().toString()
+        assert f"& {quality.policy_mask(policy)})" in plan
