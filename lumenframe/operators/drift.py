@@ -191,6 +191,10 @@ def _peak(counts: DataFrame, steps: int, axes: Sequence[str]) -> np.ndarray | No
     box = np.zeros((2 * steps + 1,) * len(axes))
     for r in counts.collect():  # at most (2 steps + 1) ^ axes rows
         box[tuple(r[f"shift_{a}"] + steps for a in axes)] = r.n
+    return _box_peak(box, steps)
+
+
+def _box_peak(box: np.ndarray, steps: int) -> np.ndarray | None:
     if box.max() == 0:
         return None
     top = np.array(np.unravel_index(int(np.argmax(box)), box.shape))
@@ -257,6 +261,53 @@ def aim(locs: DataFrame, params: Params = Params(), axes: Sequence[str] = ("xc",
     return spark.createDataFrame([(first + i, *map(float, d)) for i, d in enumerate(total)], schema)
 
 
+def _cells(points: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.rint(points / unit).astype(np.int64), axis=0, return_counts=True)
+
+
+def aim_kernel(frame: np.ndarray, points: np.ndarray, params: Params) -> tuple[int, np.ndarray]:
+    """First frame and drift of each frame, as ``aim``, for the rows of one field of view in memory."""
+    steps, k = max(3, int(math.ceil(params.radius / params.intersect))), points.shape[1]
+    first, last = int(frame.min()), int(frame.max())
+    n = max(1, sequence.n_segments(last - first + 1, params.segmentation))
+    bounds = [int(b) for b in np.linspace(first, last + 1, n + 1)]
+    total = np.zeros((last - first + 1, k))
+    for round_ in range(2):
+        cells, counts = _cells(points[frame < bounds[1]] if round_ == 0 else points, params.intersect)
+        reference = dict(zip(map(tuple, cells.tolist()), counts.tolist()))
+        found, at = np.zeros((n, k)), np.zeros(k)
+        for s, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+            box = np.zeros((2 * steps + 1,) * k)
+            cells, counts = _cells(points[(frame >= a) & (frame < b)] - at, params.intersect)
+            for shift in np.ndindex(box.shape):
+                moved = (cells - (np.array(shift) - steps)).tolist()
+                box[shift] = sum(min(reference.get(tuple(c), 0), m) for c, m in zip(moved, counts.tolist()))
+            peak = _box_peak(box, steps)
+            if peak is not None:
+                at = at + peak * params.intersect
+            found[s] = at
+        table = spline_drift(found, bounds, first, last)
+        total += table
+        points = points - table[frame - first]
+    return first, total - total.mean(axis=0)
+
+
+def aim_fields(locs: DataFrame, params: Params = Params(), axes: Sequence[str] = ("xc", "yc"), key: str = "fov_index") -> DataFrame:
+    """``aim`` for every field of view, one task each: the key, ``frame``, ``dx``, ``dy`` (``dz``)."""
+    params.validate()
+    names = {"xc": "dx", "yc": "dy", "z": "dz"}
+    kind = dict(locs.dtypes)[key]
+
+    def run(part):
+        import pandas as pd
+
+        first, drift = aim_kernel(part["frame"].to_numpy(), part[list(axes)].to_numpy(), params)
+        return pd.DataFrame({key: part[key].iloc[0], "frame": first + np.arange(len(drift)), **{names[a]: drift[:, i] for i, a in enumerate(axes)}})
+
+    schema = f"{key} {kind}, frame int, " + ", ".join(f"{names[a]} double" for a in axes)
+    return locs.select(key, "frame", *axes).groupBy(key).applyInPandas(run, schema)
+
+
 def undrift_aim(locs: DataFrame, params: Params = Params(), axes: Sequence[str] = ("xc", "yc")) -> DataFrame:
     return apply_drift(locs, aim(locs, params, axes), keys=())
 

@@ -234,6 +234,27 @@ def fire(locs: DataFrame, size: int, zoom: float, n_blocks: int = 20, reps: int
     return (math.nan, math.nan) if out[0] is None else (out[0] * scale, out[1] * scale)
 
 
+def fire_fields(locs: DataFrame, size: int, zoom: float, n_blocks: int = 20, reps: int = 10, pixel_nm: float = 1.0, key: str = "fov_index") -> DataFrame:
+    """``fire`` for every field of view: the key, ``resolution_nm``, ``spread_nm``; NaN where no split gives one."""
+    from functools import reduce
+
+    rows = locs.select(key, "frame", "xc", "yc")
+    parts = [block_split(rows, n_blocks, seed, (key,)).withColumn("rep", F.lit(seed)) for seed in range(reps)]
+    counts = binned(reduce(DataFrame.union, parts), size, size, zoom, (key, "rep", "half"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        images = np.zeros((2, size, size))
+        images[part["half"], part["py"], part["px"]] = part["value"]
+        return pd.DataFrame({key: [part[key].iloc[0]], "resolution": [resolution(ring_correlation(*images), size)[0]]})
+
+    each = counts.groupBy(key, "rep").applyInPandas(run, f"{key} {dict(locs.dtypes)[key]}, resolution double")
+    found = F.when(~F.isnan("resolution"), F.col("resolution") * (pixel_nm / zoom))
+    nan = F.lit(math.nan)
+    held = each.groupBy(key).agg(F.avg(found).alias("resolution_nm"), F.stddev_pop(found).alias("spread_nm"))
+    # a field without a row inside the grid has no counts
+    return rows.select(key).distinct().join(held, key, "left").select(key, F.coalesce("resolution_nm", nan).alias("resolution_nm"), F.coalesce("spread_nm", nan).alias("spread_nm"))
+
+
 # reductions behind plots
 
 

@@ -728,8 +728,7 @@ def _(spark, d):
 
 @query("fire_resolution")
 def _(spark, d):
-    mean, spread = render.fire(locs(spark, d).where("fov_index = 0"), 128, 0.5, reps=4, pixel_nm=130.0)
-    return spark.createDataFrame([(float(mean), float(spread))], "resolution_nm double, spread_nm double")
+    return render.fire_fields(locs(spark, d), 128, 0.5, reps=4, pixel_nm=130.0)
 
 
 # mixtures
@@ -912,7 +911,7 @@ def _(spark, d):
 
 @query("aim_drift")
 def _(spark, d):
-    return drift.aim(locs(spark, d).where("fov_index = 0"), drift.Params(125, 0.25, 1.0))
+    return drift.aim_fields(locs(spark, d), drift.Params(125, 0.25, 1.0))
 
 
 # images, generators, streams
