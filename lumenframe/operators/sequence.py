@@ -91,6 +91,17 @@ def offset_union(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def offset_fields(locs: DataFrame, key: str = "fov_index") -> DataFrame:
+    """``offset_union`` of any number of fields of view held in one table, in the order of ``key``.
+
+    Only the last frames, a row for each field, are ordered together.
+    """
+    tops = locs.groupBy(key).agg((F.max("frame") + 1).alias("n__"))
+    before = F.coalesce(F.sum("n__").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = tops.select(key, before.alias("start__"))
+    return locs.join(start, key).withColumn("frame", (F.col("frame") + F.col("start__")).cast("int")).drop("start__")
+
+
 def fill_linear(values: DataFrame, order: str, column: str, keys: Sequence[str] = ()) -> DataFrame:
     """Fill nulls between known rows by a straight line; ends hold the nearest, all null gives 0."""
     w = Window.partitionBy(*keys).orderBy(order)

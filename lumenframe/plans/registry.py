@@ -168,6 +168,11 @@ def _(spark, d):
     return filters.enough(locs(spark, d).where("fov_index = 0"), 100).select("loc_id")
 
 
+@query("minimum_rows_guard_all", "SELECT loc_id FROM locs WHERE (SELECT count(*) FROM locs) >= 100")
+def _(spark, d):
+    return filters.enough(locs(spark, d), 100).select("loc_id")
+
+
 # region joins
 
 CIRCLES = [(50.0, 50.0, 30.0), (70.0, 60.0, 25.0), (200.0, 120.0, 40.0)]
@@ -463,6 +468,13 @@ def _(spark, d):
     return sequence.offset_union([t.where(F.col("fov_index") == i).select("loc_id", "frame") for i in range(3)])
 
 
+@query("frame_offset_union_all", """
+, s AS (SELECT fov_index, sum(max(frame) + 1) OVER (ORDER BY fov_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM locs GROUP BY fov_index)
+SELECT loc_id, CAST(frame + coalesce(n, 0) AS INT) AS frame FROM locs JOIN s ON s.fov_index = locs.fov_index""")
+def _(spark, d):
+    return sequence.offset_fields(locs(spark, d).select("fov_index", "loc_id", "frame")).select("loc_id", "frame")
+
+
 @query("segment_tumbling", "SELECT fov_index, CAST(floor(frame / 50.0) AS INT) AS segment, count(*) AS n FROM locs GROUP BY 1, 2")
 def _(spark, d):
     return locs(spark, d).groupBy("fov_index", sequence.frame_segment(F.col("frame"), 50).alias("segment")).agg(F.count("*").alias("n"))
@@ -608,6 +620,17 @@ def _(spark, d):
     return sequence.roi_traces(pixels, puncta, 5)
 
 
+@query("roi_traces_all", """
+, p AS (SELECT molecular_index AS punctum, CAST(floor(avg(yc)) AS INT) AS y0, CAST(floor(avg(xc)) AS INT) AS x0 FROM locs GROUP BY 1)
+SELECT punctum, frame, round(sum(A_R), 6) + 0.0 AS value FROM locs JOIN p ON CAST(floor(yc) AS INT) BETWEEN y0 - 2 AND y0 + 2 AND CAST(floor(xc) AS INT) BETWEEN x0 - 2 AND x0 + 2 GROUP BY 1, 2""")
+def _(spark, d):
+    t = locs(spark, d)
+    # one row a pixel and frame, so a punctum meets a bounded number of them
+    pixels = t.groupBy("frame", F.floor("yc").cast("int").alias("y"), F.floor("xc").cast("int").alias("x")).agg(F.sum("A_R").alias("value"))
+    puncta = t.groupBy(F.col("molecular_index").alias("punctum")).agg(F.avg("yc").alias("yc"), F.avg("xc").alias("xc"))
+    return sequence.roi_traces(pixels, puncta, 5)
+
+
 # drift
 
 DRIFT = "SELECT fov_index, frame, CAST(frame * 3 % 64 AS DOUBLE) / 64.0 AS dx, CAST(frame * 5 % 64 AS DOUBLE) / 64.0 AS dy FROM (SELECT DISTINCT fov_index, frame FROM locs WHERE frame BETWEEN 20 AND 450)"

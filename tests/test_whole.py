@@ -8,6 +8,7 @@ import pytest
 from lumenframe.operators import drift, render
 from lumenframe.plans import registry
 from lumenframe.plans.locs import locs
+from tests.oracle import connect, same
 
 SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are elsewhere")
@@ -27,3 +28,14 @@ def test_fire_resolution_of_every_field(spark):
     assert sorted(got) == [0, 1, 2, 3]
     want = render.fire(locs(spark, SF).where("fov_index = 2"), 128, 0.5, reps=4, pixel_nm=130.0)
     assert got[2] == pytest.approx(want, abs=2e-6, nan_ok=True) and not all(math.isnan(a) for a, _ in got.values())
+
+
+@pytest.mark.parametrize("name", ["roi_traces_all", "frame_offset_union_all", "minimum_rows_guard_all"])
+def test_whole_table_against_its_twin(spark, name):
+    same(registry.QUERIES[name](spark, SF), connect(SF), registry.ORACLE_SQL[name])
+
+
+def test_no_molecule_or_field_is_left_out(spark):
+    t = locs(spark, SF)
+    assert registry.QUERIES["roi_traces_all"](spark, SF).select("punctum").distinct().count() == t.select("molecular_index").distinct().count() > 50
+    assert registry.QUERIES["frame_offset_union_all"](spark, SF).count() == registry.QUERIES["minimum_rows_guard_all"](spark, SF).count() == t.count() > 7500
