@@ -295,6 +295,14 @@ def _(spark, d):
     return aggregate.molecules(t).orderBy(F.col("photons").desc(), "molecular_index").limit(100).select("molecular_index", "frames", "A_R", "photons", "xc", "chi_sqr")
 
 
+@query("molecule_average_all", f"""
+SELECT molecular_index, count(*) AS frames, {r(WM.format(c='A_R'), 'A_R')}, {r(f'sum({PHOTONS})', 'photons')}, {r('avg(xc)', 'xc')}, {r('avg(chi_sqr)', 'chi_sqr')}
+FROM locs WHERE chi_sqr < (SELECT quantile_cont(chi_sqr, 0.5) FROM locs) AND {QUALITY} GROUP BY molecular_index""")
+def _(spark, d):
+    t = filters.quality(exprs.photon_columns(locs(spark, d)), **BOUNDS)
+    return aggregate.molecules(t).select("molecular_index", "frames", "A_R", "photons", "xc", "chi_sqr")
+
+
 @query("linked_events", f"""
 WITH m AS (SELECT quantile_cont(xc_err, 0.5) FILTER (xc_err > 0) AS ex FROM locs),
 g AS (SELECT fov_index, molecular_index, min(frame) AS frame, max(frame) AS last_frame, count(*) AS n, {WM.format(c='xc')} AS xc, {WM.format(c='A_G')} AS A_G, sum({PHOTONS}) AS photons, sum(bg_R) AS bg_R, avg(chi_sqr) AS chi_sqr FROM locs GROUP BY 1, 2)
