@@ -206,9 +206,15 @@ class Lattices:
             else:
                 prob[e] = w[e] * back[node[e] + self.step[e]] / back[node[e]]
         self.prob = np.clip(prob, 1e-300, 1.0)
-        run = np.cumsum(prob)
-        base = np.concatenate([[0.0], run])[self.off[node]]
-        self.upto = run - base
+        # summed within each node, so what lies before it in the block doesn't show
+        self.upto = prob.copy()
+        rank = np.arange(len(prob)) - self.off[node]
+        later = np.flatnonzero(rank > 0)
+        by_rank = later[np.argsort(rank[later].astype(np.int16), kind="stable")]
+        bounds = np.searchsorted(rank[by_rank], np.arange(1, int(rank.max(initial=0)) + 2))
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            e = by_rank[a:b]
+            self.upto[e] += self.upto[e - 1]
         ends = self.off[1:][np.diff(self.off) > 0] - 1
         self.upto[ends] = 2.0  # the last edge takes whatever is left
         only = np.diff(self.off)[node] == 1

@@ -116,7 +116,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.sample(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), with_ids=False)
+    return pieces.sample(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
 OP4_SQL = r"""

@@ -126,3 +126,17 @@ def test_a_full_store_and_equal_hashes_change_nothing(vocabulary):
     own.store = pieces.Store(own)
     own.store.factors = np.full(1000, 1 << 62, dtype=np.uint64)  # most words collide
     assert [[r[0].tolist() for r in rows] for rows in pieces.sample_block(own, range(200), texts)] == want
+
+
+def test_running_sums_are_a_words_own(vocabulary):
+    """Behind other words of a block a word's lattice is the same, bit for bit."""
+    words = ["▁segmentation", "▁a", "▁uncharacteristically", "x" * 300]
+    lay = lambda ws: pieces.Lattices(vocabulary, np.frombuffer("".join(ws).encode("utf-32-le"), dtype=np.uint32), np.array([len(w) for w in ws]))
+    crowd = [f"▁word{i}" for i in range(3000)]
+    among = lay(crowd + words)
+    for w, first, last in zip(words, among.first[-len(words) :], among.last[-len(words) :]):
+        alone, part = lay([w]), slice(among.off[first], among.off[last + 1] if last + 1 < len(among.off) else None)
+        for name in ("piece", "step", "prob", "upto"):
+            assert np.array_equal(getattr(alone, name), getattr(among, name)[part]), name
+    ends = alone.off[1:][np.diff(alone.off) > 0] - 1
+    assert (alone.upto[ends] == 2).all()
