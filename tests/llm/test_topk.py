@@ -41,6 +41,37 @@ def test_repeated_rows_and_few_candidates(spark):
     assert got == [(20, 1, 1, 4096), (20, 2, 1, 4096)]
 
 
+def test_of_rows_with_one_id_the_smallest_vector_asks(spark):
+    rows = [(20, [2.0, 0.0]), (20, [1.0, 5.0]), (1, [1.0, 1.0]), (2, [3.0, 0.0])]
+    vectors = topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
+    for parts in (1, 4):
+        again = vectors.repartition(parts)
+        got = sorted(tuple(r) for r in topk.top_k(again, again.where("id % 20 = 0")).collect())
+        assert got == [(20, 1, 1, 6 * 4096), (20, 2, 2, 3 * 4096)]
+
+
+def test_queries_skip_cells_and_a_hot_cell_is_dealt(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 8)) * 4
+    rows = [(i, (centres[i % 40] + rng.normal(size=8) * 0.05).tolist()) for i in range(4000)] + [(10_000 + i, centres[0].tolist()) for i in range(2000)]
+    vectors = topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    sent: dict = {}
+    got = {tuple(r) for r in topk.top_k(vectors, vectors.where("id % 20 = 0 AND id < 4000"), k=5, shard_rows=100, query_block=32, sent=sent).collect()}
+    own = whole(rows)
+    assert got == brute(own, [(i, v) for i, v in own if i % 20 == 0 and i < 4000], 5)
+    assert sent["searched"] < sent["all"] / 2
+
+
+def test_cells_cover_space():
+    rng = np.random.default_rng(3)
+    rows = {3: rng.normal(size=(500, 3)), 2: rng.normal(size=(100, 2)), 0: np.zeros((4, 0))}
+    cells = topk.Cells(rows, 64)
+    for d, v in rows.items():
+        at = cells.of(d, v)
+        assert at.min() >= 0 and at.max() < cells.n and len(np.unique(at)) > (d > 0)
+    assert (cells.of(7, np.zeros((2, 7))) == cells.rest).all()
+
+
 def test_pruning_keeps_the_result_and_prunes():
     rng = np.random.default_rng(1)
     centres = rng.integers(-60, 60, size=(30, 8))
