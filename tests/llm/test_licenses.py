@@ -53,8 +53,50 @@ def test_labels_and_base_against_the_plain_way(spark):
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+def every_place(text, threshold):
+    """Each passage laid over every place of the text."""
+    words, index, out = licenses.words_of(text.encode()), licenses.build_index(threshold=threshold), {}
+    for t, own in enumerate(index.words):
+        for o in range(-len(own), len(words) + 1):
+            same = sum(0 <= o + j < len(words) and words[o + j] == w for j, w in enumerate(own)) / len(own)
+            stand = all(o + at >= 0 and tuple(words[o + at : o + at + len(p)]) == p for at, p in index.phrases[t])
+            if stand and same >= threshold:
+                label = index.templates[t].label
+                out[label] = max(out.get(label, 0), same)
+    return out
+
+
+def test_the_index_misses_no_place():
+    rnd = random.Random(9)
+    passages = [t.text for t in licenses.TEMPLATES]
+    found = 0
+    for threshold in (0.6, 0.8):
+        index = licenses.build_index(threshold=threshold)
+        for _ in range(60):
+            words = []
+            for _ in range(3):
+                own = rnd.choice(passages).split()
+                words += [rnd.choice(["zzz", "license", w]) if rnd.random() < 0.2 else w for w in own if rnd.random() > 0.005]
+                words += [rnd.choice("license the software mit free".split()) for _ in range(rnd.randrange(12))]
+            text = " ".join(words)
+            want = every_place(text, threshold)
+            got = licenses.scan(text.encode(), index, base={"no such phrase": "none"})
+            assert set(filter(None, got[5].split(","))) == want.keys(), text
+            assert got[6] == max(want.values(), default=0)
+            found += len(want)
+    assert found > 50
+
+
+def test_whole_licences():
+    mit = "MIT License\n\nCopyright (c) 2024 Some One\n\n" + "\n\n".join(t.text for t in licenses.TEMPLATES if t.label == "mit")
+    index = licenses.build_index()
+    assert licenses.scan(mit.encode(), index)[5:] == ("mit", 1.0)
+    for t in licenses.TEMPLATES:
+        assert t.label in licenses.scan(("// " + t.text.replace(" ", "\n * ")).encode(), index)[5].split(","), t
+
+
 def test_scattered_words_are_no_licence():
-    index = licenses.build_index(1000, {w: 3 for t in licenses.TEMPLATES for w in t.text.encode().split()})
+    index = licenses.build_index()
     notice = list(NOTICES)[4]
     words = re.findall(r"\w+", notice)
     assert licenses.scan(notice.encode(), index)[5] == "bsd"
@@ -62,3 +104,12 @@ def test_scattered_words_are_no_licence():
     assert licenses.scan(" ".join(words).encode(), index)[5] == ""
     without = notice.replace("source and binary forms", "any form")
     assert licenses.scan(without.encode(), index)[5] == ""
+    elsewhere = without + " " + " ".join(["x"] * 9) + " redistribution and use in source and binary forms"
+    assert licenses.scan(elsewhere.encode(), index)[5] == ""
+
+
+def test_labels_depend_on_the_file_alone(spark):
+    notices = [(i, n) for i, n in enumerate(NOTICES)]
+    alone = [tuple(licenses.scan_licenses(spark.createDataFrame([r], "doc_id long, text string")).first()) for r in notices[:2]]
+    crowd = spark.createDataFrame(notices[:2] + [(100 + i, list(NOTICES)[0]) for i in range(50)], "doc_id long, text string")
+    assert [tuple(r) for r in licenses.scan_licenses(crowd).where("doc_id < 100").orderBy("doc_id").collect()] == alone
