@@ -3,13 +3,15 @@
 Each source's documents are shuffled by a hash of their ids; a document's
 virtual finish time is the source's words up to its end over the source's
 target, so at any virtual time all sources have given the same share of their
-targets.  The mix is all documents in the order of that time, cut where the
-total budget is reached.  A source may be gone through up to three times.
-
-Running sums over a hot source or the whole corpus never meet in one task:
-hashes and virtual times are spread evenly, so equal ranges of them make even
-buckets; sums of buckets are added up first and only what lies inside a
-bucket is ordered.  Nothing is sampled, so a rerun gives the same mix.
+targets.  All documents are sorted into ranges of that time over the whole
+cluster, and the mix is cut where the total budget is reached: the words of
+each range tell which holds the cut, and that one alone is gone through in
+order.  A source may be gone through up to three times.
+
+Running sums over a hot source never meet in one task: hashes are spread
+evenly, so equal ranges of them make even buckets; sums of buckets are added up
+first and only what lies inside a bucket is ordered.  Nothing is sampled but
+the borders of ranges, which never show, so a rerun gives the same mix.
 """
 
 from __future__ import annotations
@@ -22,8 +24,12 @@ from lumenframe.llm.common import WORD, checkpointed, own_name
 PASSES = 3
 WEIGHTS = (1, 2, 3)
 BUCKET_ROWS = 256
-#: At most so many buckets of a source and slots of virtual time are added up in order.
-BUCKETS, SLOTS = 1 << 20, 1 << 16
+#: At most so many buckets of a source are added up in order by one task; their rows then grow.
+BUCKETS = 1 << 20
+#: A range of virtual time with more rows is cut into ranges again.
+RANGE_ROWS = 16_384
+#: So many equal rows are dealt out at once.
+CHUNK_ROWS = 10_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> DataFrame:
@@ -50,60 +56,84 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int =
     return settled.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", bucket_rows: int = BUCKET_ROWS, keep_source: bool = False) -> DataFrame:
+def _cut(served: DataFrame, budget: int, range_rows: int = RANGE_ROWS):
+    """The last place (``time``, ``name``, ``key``, ``size``) that the budget reaches; None if it reaches the first of none, True if all.
+
+    ``served`` has these columns and ``words``.  Sorted by ranges over the
+    cluster; what comes to the driver is a row for each range.
+    """
+    order = ("time", "name", "key", "size")
+    n = int(served.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near, before, last = served, 0, None
+    while True:
+        ranged = checkpointed(near.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()))
+        ranges = ranged.groupBy("range").agg(F.sum("words").alias("words"), F.count("*").alias("n"), F.max(F.struct(*order)).alias("last")).orderBy("range").collect()
+        held = sum(r.n for r in ranges)
+        for r in ranges:
+            if before + r.words > budget:
+                break
+            before, last = before + r.words, r["last"]
+        else:
+            return True if near is served else last
+        near = ranged.where(F.col("range") == r.range).drop("range")
+        if r.n <= range_rows or r.n == held:
+            break  # few, or all in one place
+    run = F.sum("words").over(Window.orderBy(*order).rangeBetween(Window.unboundedPreceding, 0)) + F.lit(before)
+    inside = near.select(F.struct(*order).alias("o"), run.alias("run")).where(F.col("run") <= budget).agg(F.max("o")).first()[0]
+    return last if inside is None else inside
+
+
+def mix(docs: DataFrame, seed: str = "mix", bucket_rows: int = BUCKET_ROWS, keep_source: bool = False, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Every row's ``doc_id``, ``size``, ``source_size``, ``target``, ``taken`` and ``copies``.
 
-    ``docs`` has ``doc_id``, ``source`` and ``text``; size is the number of
-    words, null texts have none.  ``copies`` is how often the mix holds the
-    document, ``taken`` the words of these copies, ``first_time`` the virtual
-    finish time of its first.  Whole documents are taken; the first that would
-    pass the budget ends the mix.  Rows that agree in id, source and size
-    are taken alike.  No words at all give a mix of nothing.
+    ``docs`` has ``doc_id``, ``source`` and ``text``; other columns go.  Size is
+    the number of words of the whole text; null and empty texts have none.
+    ``copies`` is how often the mix holds the document, ``taken`` the words of
+    these copies, ``first_time`` the virtual finish time of its first.  Whole
+    documents are taken; the first that would pass the budget ends the mix.
+    Rows that agree in id, source and size are counted first and taken alike,
+    all or none; equal times go by source, then by the hash of the id.  Null
+    ids count as one id.  No words at all give a mix of nothing, an empty
+    table an empty one.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = checkpointed(docs.select("doc_id", "source", size.alias("size"), key.alias("key")))
-    wanted = checkpointed(targets(rows))
-    summed = rows.agg(F.count("*"), F.sum("size")).first()
-    n, budget = summed[0], summed[1] or 0
-    wished = max(1, -(-n // bucket_rows))
-    buckets, n_slots = min(BUCKETS, wished), min(SLOTS, wished)
+    sized = docs.select("doc_id", "source", size.alias("size"))
+    rows = checkpointed(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")).withColumn("key", key))
+    wanted = checkpointed(targets(rows.select("source", (F.col("size") * F.col("n")).alias("size"))))
+    summed = rows.agg(F.count("*"), F.sum(F.col("size") * F.col("n")), F.max("n")).first()
+    distinct, budget, most = summed[0], summed[1] or 0, summed[2] or 0
+    buckets = min(BUCKETS, max(1, -(-distinct // bucket_rows)))
 
     # words before each bucket of each source
     name = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("name")
     bucket = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)).alias("bucket")
-    dealt = rows.select("doc_id", "size", "key", name, bucket)
+    dealt = rows.select("doc_id", "size", "n", "key", (F.col("size") * F.col("n")).alias("words"), name, bucket)
     before = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("name", "bucket").agg(F.sum("size").alias("words")).select("name", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
+    starts = dealt.groupBy("name", "bucket").agg(F.sum("words").alias("words")).select("name", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
     starts = starts.join(wanted.select(name, "source_size", "target"), "name")
     inside = Window.partitionBy("name", "bucket").orderBy("key", "size").rangeBetween(Window.unboundedPreceding, 0)
-    queued = dealt.join(starts, ["name", "bucket"]).select("doc_id", "size", "key", "name", "source_size", "target", (F.col("start") + F.sum("size").over(inside)).alias("end"))
+    queued = dealt.join(starts, ["name", "bucket"]).select("doc_id", "size", "n", "key", "words", "name", "source_size", "target", (F.col("start") + F.sum("words").over(inside)).alias("end"))
     queued = checkpointed(queued)
 
     time = lambda i: F.when(F.col("target") > 0, (F.col("end") + F.col("source_size") * F.lit(i)).cast("double") / F.col("target")).otherwise(F.lit(0.0))
-    served = queued.where("size > 0").select("size", "name", "key", F.explode(F.array(*[time(i) for i in range(PASSES)])).alias("time"))
-    # in equal times all sources together give equally many words
-    slot = F.least(F.floor(F.col("time") * F.lit(n_slots)), F.lit(4 * n_slots)).alias("slot")
-    slots = served.groupBy(slot).agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.orderBy("slot"))
-    cut = slots.select("slot", (upto - F.col("words")).alias("before"), upto.alias("upto")).where(F.col("upto") > budget).orderBy("slot").first()
-    if cut is None:
-        inside_mix = lambda i: F.lit(True)  # noqa: E731  the budget covers everything
+    served = queued.where("size > 0").select("words", "size", "name", "key", F.explode(F.array(*[time(i) for i in range(PASSES)])).alias("time"))
+    cut = _cut(served, budget, range_rows)
+    if cut is True or cut is None:
+        inside_mix = lambda i: F.lit(cut is True)
     else:
-        order = F.struct("time", "name", "key", "size")
-        run = F.sum("size").over(Window.orderBy("time", "name", "key", "size").rangeBetween(Window.unboundedPreceding, 0)) + F.lit(cut["before"])
-        near = served.withColumn("slot", slot).where(F.col("slot") == cut["slot"])
-        last = near.select(order.alias("o"), run.alias("run")).where(F.col("run") <= budget).agg(F.max("o")).first()[0]
-        at = lambda i: F.struct(time(i).alias("time"), "name", "key", "size")
-        early = lambda i: F.least(F.floor(time(i) * F.lit(n_slots)), F.lit(4 * n_slots)) < cut["slot"]
-        if last is None:
-            inside_mix = early
-        else:
-            bound = F.struct(*[F.lit(last[c]).alias(c) for c in ("time", "name", "key", "size")])
-            inside_mix = lambda i: at(i) <= bound
+        bound = F.struct(*[F.lit(cut[c]).alias(c) for c in ("time", "name", "key", "size")])
+        inside_mix = lambda i: F.struct(time(i).alias("time"), "name", "key", "size") <= bound
     copies = sum((F.when((F.col("size") > 0) & inside_mix(i), F.lit(1)).otherwise(F.lit(0)) for i in range(PASSES)), F.lit(0))
-    out = queued.select("doc_id", "size", "source_size", "target", copies.alias("copies"), time(0).alias("first_time"), "name")
+    out = queued.select("doc_id", "size", "source_size", "target", copies.alias("copies"), time(0).alias("first_time"), "name", "n")
     out = out.withColumn("taken", F.col("size") * F.col("copies"))
+    if most > 1:
+        # a row for each that was counted, in chunks, so that no task holds them all
+        out = out.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK_ROWS))))
+        if most > CHUNK_ROWS:
+            out = out.repartition("doc_id", "name", "size", "chunk")
+        out = out.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("n") - F.col("chunk") * CHUNK_ROWS, F.lit(CHUNK_ROWS))))).drop("chunk", "row")
+    out = out.drop("n")
     return out if keep_source else out.drop("name")
 
 

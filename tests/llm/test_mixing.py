@@ -57,10 +57,22 @@ def test_targets_are_met_and_reruns_agree(spark, bucket_rows):
 
 def test_bucket_size_never_changes_the_mix(spark):
     docs = spark.createDataFrame(documents(500, 3, [("a", 5), ("b", 1)]), "doc_id long, source string, text string")
-    results = [sorted(map(str, mixing.mix(docs, bucket_rows=n).collect())) for n in (7, 100, 10000)]
+    results = [sorted(map(str, mixing.mix(docs, bucket_rows=n, range_rows=m).collect())) for n, m in ((7, 5), (100, 60), (10000, 10000))]
     assert results[0] == results[1] == results[2]
 
 
+def test_one_id_on_a_third_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK_ROWS", 50)
+    rows = documents(400, 8, [("a", 5), ("b", 1)]) + [(None, "a", "w w w")] * 120 + [(7000, "b", "w w")] * 90
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(docs, keep_source=True).collect()
+    assert len(got) == len(rows)
+    assert len({(r.copies, r.first_time) for r in got if r.doc_id is None}) == 1
+    assert len({(r.copies, r.first_time) for r in got if r.doc_id == 7000}) == 1
+    assert sum(r.taken for r in got) <= sum(len(t.split()) for _, _, t in rows)
+    assert mixing.mixture(docs).count() == sum(r.copies for r in got)
+
+
 def test_empty_tables_and_no_words(spark):
     docs = spark.createDataFrame([(1, "a", ""), (2, None, None)], "doc_id long, source string, text string")
     assert [r.taken for r in mixing.mix(docs).collect()] == [0, 0]
