@@ -1,12 +1,15 @@
 """A toxicity classifier with a counterfactual penalty.
 
-A text is the set of its words and word beginnings, hashed.  The features
-that toxic labels favour are chosen by a distributed count; a logistic model
-over them is fitted on the driver from a bounded sample.  In the labelled
-sentences that mention a group of people the group's name is swapped for its
-peers, and the squared change of the score is part of the loss, so a neutral
-mention of any one group doesn't move the score.  Labels are read for the
-fit only; a score is a function of the text.
+A text is the set of its words and word beginnings, hashed.  Features that
+toxic or clean labels clearly favour are found by a distributed count; a
+logistic model over them is fitted on the driver from a bounded sample.  In
+the labelled sentences that mention a group of people the group's name is
+swapped for its peers, and the squared change of the sentence's log-odds is
+part of the loss, so a neutral mention of any one group doesn't move the
+score.  (The score is the logistic function of the log-odds, whose slope is a
+quarter at most: its squared change is at most a sixteenth of what is
+penalised, and the loss stays convex.)  Labels are read for the fit only; a
+score is a function of the text.
 """
 
 from __future__ import annotations
@@ -27,7 +30,10 @@ from lumenframe.llm.common import checkpointed, own_name, tidy
 #: The fit uses at most so many labelled texts of each class, those with the
 #: smallest hashes of their ids; selection and counts cover all of these.
 SAMPLE = 4000
-FEATURES = 4096
+#: A feature counts if one class has it so many times as often as the other;
+#: for clean texts that must also be as many standard errors away, for rare
+#: words of toxic ones are wanted.  However many pass, all are taken.
+RATIO, CLEAR = 4, 3.5
 #: A word stands for itself and for its beginnings of these lengths.
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
@@ -93,33 +99,78 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
-def fit_logistic(rows: Sequence[np.ndarray], labels: np.ndarray, size: int, pairs: Sequence[tuple[np.ndarray, np.ndarray, float]], ridge: float = 1e-6, fairness: float = 10.0, steps: int = 1500) -> tuple[float, np.ndarray]:
+def _flat(lists: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which list each number is of, and all numbers: a sparse matrix of ones by rows."""
+    sizes = np.array([len(x) for x in lists], dtype=np.int64)
+    return np.repeat(np.arange(len(lists)), sizes), np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64)
+
+
+def loss_of(rows: Sequence[np.ndarray], labels: np.ndarray, size: int, pairs: Sequence[tuple[np.ndarray, np.ndarray, float]], ridge: float, fairness: float):
+    """The function to minimise: bias and weights in one vector to its value and gradient."""
+    row_of, at = _flat(rows)
+    up_of, up = _flat([p[0] for p in pairs])
+    down_of, down = _flat([p[1] for p in pairs])
+    share = np.array([p[2] for p in pairs])
+
+    def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
+        w = v[1:]
+        x = v[0] + np.bincount(row_of, weights=w[at], minlength=len(rows))
+        error = (0.5 * (1 + np.tanh(x / 2)) - labels) / len(rows)
+        value = float((np.logaddexp(0, x) - labels * x).mean() + 0.5 * ridge * (w @ w))
+        g = np.bincount(at, weights=error[row_of], minlength=size) + ridge * w
+        if len(pairs):
+            change = np.bincount(up_of, weights=w[up], minlength=len(pairs)) - np.bincount(down_of, weights=w[down], minlength=len(pairs))
+            value += float(fairness * (share * change * change).sum())
+            slope = 2 * fairness * share * change
+            g += np.bincount(up, weights=slope[up_of], minlength=size) - np.bincount(down, weights=slope[down_of], minlength=size)
+        return value, np.concatenate([[error.sum()], g])
+
+    return loss
+
+
+def minimise(loss, start: np.ndarray, rounds: int = 500, memory: int = 10, tolerance: float = 1e-6) -> np.ndarray:
+    """L-BFGS with backtracking for a convex function."""
+    v = start
+    value, g = loss(v)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        if np.abs(g).max(initial=0) <= tolerance:
+            break
+        d, kept = g.copy(), []
+        for s, y, r in reversed(steps):
+            kept.append(r * (s @ d))
+            d -= kept[-1] * y
+        if steps:
+            s, y, r = steps[-1]
+            d /= r * (y @ y)
+        for (s, y, r), a in zip(steps, reversed(kept)):
+            d += s * (a - r * (y @ d))
+        slope, length = float(g @ d), 1.0 if steps else min(1.0, 1.0 / np.abs(g).max())
+        for _ in range(40):
+            new = v - length * d
+            new_value, new_g = loss(new)
+            if new_value <= value - 1e-4 * length * slope:
+                break
+            length /= 2
+        else:
+            break
+        s, y = new - v, new_g - g
+        if s @ y > 1e-12 * (y @ y):
+            steps = [*steps[-(memory - 1) :], (s, y, 1.0 / (s @ y))]
+        v, value, g = new, new_value, new_g
+    return v
+
+
+def fit_logistic(rows: Sequence[np.ndarray], labels: np.ndarray, size: int, pairs: Sequence[tuple[np.ndarray, np.ndarray, float]], ridge: float = 1e-5, fairness: float = 10.0) -> tuple[float, np.ndarray]:
     """Bias and weights that minimise log loss + ridge + counterfactual penalty.
 
     ``rows`` hold the features of each text; ``pairs`` features gained and
     lost by a swap and its share of all swaps.
     """
-    bias, w = 0.0, np.zeros(size)
     if not len(rows):
-        return bias, w
-    lengths = np.array([len(r) for r in rows])
-    row_of, flat = np.repeat(np.arange(len(rows)), lengths), np.concatenate(rows).astype(np.int64) if lengths.sum() else np.zeros(0, np.int64)
-    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
-    for step in range(1, steps + 1):
-        x = bias + np.bincount(row_of, weights=w[flat], minlength=len(rows))
-        error = (1 / (1 + np.exp(-np.clip(x, -40, 40))) - labels) / len(rows)
-        g = np.bincount(flat, weights=error[row_of], minlength=size) + ridge * w
-        for gained, lost, share in pairs:
-            change = 2 * fairness * share * (w[gained].sum() - w[lost].sum())
-            np.add.at(g, gained, change)
-            np.add.at(g, lost, -change)
-        gb = error.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        c1, c2 = 1 - 0.9**step, 1 - 0.999**step
-        w = w - 0.05 * (m / c1) / (np.sqrt(v / c2) + 1e-12)
-        bias -= 0.05 * (mb / c1) / (np.sqrt(vb / c2) + 1e-12)
-    return bias, w
+        return 0.0, np.zeros(size)
+    v = minimise(loss_of(rows, labels, size, pairs, ridge, fairness), np.zeros(size + 1))
+    return float(v[0]), v[1:]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -140,13 +191,15 @@ def _seen(texts: pa.Array) -> pa.Array:
     return pa.array(rows, type=pa.struct([("features", ints), ("swaps", pa.list_(pa.struct([("gained", ints), ("lost", ints)])))]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fairness: float = 10.0) -> Model:
     """Fit from the labelled rows that aren't held out.
 
     Labels whose id or ``toxic`` is null are ignored; an id labelled twice
-    counts as toxic if one label says so.  Without toxic or without clean
-    labels the model gives every text 0.  The driver receives the features
-    chosen of at most ``2 * sample`` texts and the swaps found in them.
+    counts as toxic if one label says so; of the texts of a repeated id each
+    counts.  Without toxic or without clean labels (an empty table, say) the
+    model gives every text 0.  The driver receives the counted features of at
+    most ``2 * sample`` texts, and the distinct swaps among them, no more than
+    there are pairs of peers and of what a sentence already holds of them.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
@@ -161,21 +214,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = FE
         return Model(-40.0, {})
     counts = read.select("toxic", F.explode("seen.features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
     rate = (F.col("pos") + 0.5) / (n[1] + 1), (F.col("neg") + 0.5) / (n[0] + 1)
-    gain = (rate[0] - rate[1]) / F.sqrt(rate[0] / n[1] + rate[1] / n[0])
-    least = max(2, n[1] // 1000)
-    picked = counts.where((F.col("pos") >= least) & (rate[0] > 4 * rate[1])).orderBy(gain.desc(), "f").limit(size)
-    features = {r.f for r in picked.select("f").collect()}
+    apart = (rate[0] - rate[1]) / F.sqrt(rate[0] / n[1] + rate[1] / n[0])
+    of_toxic = (F.col("pos") >= max(2, n[1] // 1000)) & (rate[0] > RATIO * rate[1])
+    of_clean = (rate[1] > RATIO * rate[0]) & (apart <= -CLEAR)
+    features = {r.f for r in counts.where(of_toxic | of_clean).select("f").collect()}
     for term in _PEERS:
         features.update(features_of(term))
     place = {f: i for i, f in enumerate(sorted(features))}
-    wanted = F.array(*[F.lit(f).cast("int") for f in place])
-    texts = read.select("toxic", F.array_intersect("seen.features", wanted).alias("f")).collect()
-    changes = read.select(F.explode("seen.swaps").alias("s")).groupBy("s").count().collect()
-    total = sum(r["count"] for r in changes)
-    at = lambda fs: np.array([place[f] for f in fs if f in place], dtype=np.int64)
-    rows = [at(r.f) for r in texts]
-    y = np.array([r.toxic for r in texts], dtype=float)
-    bias, w = fit_logistic(rows, y, len(place), [(at(r.s.gained), at(r.s.lost), r["count"] / total) for r in changes])
+    wanted = docs.sparkSession.sparkContext.broadcast(np.array(sorted(features), dtype=np.int32))
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def places(lists: pa.Array) -> pa.Array:
+        own, out = wanted.value, []
+        for x in lists:
+            f = np.asarray(x.values, dtype=np.int32)
+            at = np.minimum(np.searchsorted(own, f), len(own) - 1)
+            out.append(np.sort(at[own[at] == f]).astype(np.int32))
+        return pa.array(out, type=pa.list_(pa.int32()))
+
+    texts = read.select("toxic", places("seen.features").alias("f")).collect()
+    changes = read.select(F.explode("seen.swaps").alias("s")).select(places("s.gained").alias("gained"), places("s.lost").alias("lost")).groupBy("gained", "lost").count().collect()
+    # in an order of their own, so that a rerun adds up alike
+    texts = sorted((r.toxic, r.f) for r in texts)
+    changes = sorted((r.gained, r.lost, r["count"]) for r in changes)
+    total = sum(c for *_, c in changes)
+    at = lambda x: np.array(x, dtype=np.int64)
+    bias, w = fit_logistic([at(f) for _, f in texts], np.array([float(t) for t, _ in texts]), len(place), [(at(a), at(b), c / total) for a, b, c in changes], fairness=fairness)
     return Model(float(bias), {f: float(w[i]) for f, i in place.items()})
 
 
@@ -210,14 +274,20 @@ _WORDS: dict = {}
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score``, ``predicted`` for every row of ``docs``."""
+    """``doc_id``, ``held_out``, ``score``, ``predicted`` for every row of ``docs``.
+
+    Whole texts are scored, however long; null and empty ones as the text
+    without words.  Repeated rows get a row each, null ids are not held out,
+    an empty table gives an empty one; a score of exactly the threshold is
+    toxic.  Other columns of ``docs``, whatever their names, go.
+    """
     model = fit(docs, labels)
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(model, F.col("text"), docs.sparkSession).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that score below the threshold."""
+    """The rows of ``docs``, all columns as they are, that score below the threshold; odd input as in ``classify``."""
     (score,) = own_name(docs, "score__")
     model = fit(docs, labels)
     return docs.withColumn(score, score_column(model, F.col("text"), docs.sparkSession)).where(F.col(score) < threshold).drop(score)

@@ -57,6 +57,36 @@ def test_the_penalty_evens_out_groups(spark):
     assert free[0] - free[1] > 3 and abs(tied[0] - tied[1]) < 0.3
 
 
+def test_the_sparse_fit_is_the_dense_one():
+    rng = np.random.default_rng(5)
+    x = (rng.random((200, 6)) < 0.4).astype(float)
+    y = (rng.random(200) < 1 / (1 + np.exp(-(x @ np.array([2.0, -1.0, 0.5, 0.0, 1.0, -2.0]) - 0.5)))).astype(float)
+    pairs = [(np.array([0]), np.array([1]), 0.5), (np.array([2, 3]), np.array([], dtype=int), 0.3), (np.array([], dtype=int), np.array([5]), 0.2)]
+    ridge, fairness = 1e-3, 0.2
+    bias, w = toxicity.fit_logistic([np.flatnonzero(r) for r in x], y, 6, pairs, ridge, fairness)
+    # Newton's method on the plain matrices
+    full = np.hstack([np.ones((200, 1)), x])
+    d = np.zeros((3, 7))
+    d[0, 1], d[0, 2], d[1, 3], d[1, 4], d[2, 6] = 1, -1, 1, 1, -1
+    share, v = np.diag([0.5, 0.3, 0.2]), np.zeros(7)
+    tied = np.diag([0.0] + [ridge] * 6) + 2 * fairness * d.T @ share @ d
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-full @ v))
+        v = v - np.linalg.solve(full.T @ (full * (p * (1 - p))[:, None]) / 200 + tied, full.T @ (p - y) / 200 + tied @ v)
+    assert np.allclose([bias, *w], v, atol=1e-3)
+
+
+def test_clean_words_can_lower_a_score(spark):
+    rnd = random.Random(4)
+    toxic = [(i, f"vilething {rnd.choice(CLEAN)} {rnd.choice(['doubt', 'x'])}") for i in range(0, 300)]
+    clean = [(i, f"{rnd.choice(CLEAN)} {rnd.choice(CLEAN)} sources cited") for i in range(300, 600)]
+    docs = spark.createDataFrame(toxic + clean, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i < 300)) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks)
+    assert model.score({"vilething"}) > 0.9 > model.score({"vilething", "sources", "cited"})
+    assert abs(model.score({"muslim"}) - model.score({"christian"})) < 1e-3
+
+
 def test_swaps_change_the_named_group_only():
     out = toxicity.swaps("A muslim baker. No one here.")
     assert len(out) == len(toxicity._PEERS["muslim"])
