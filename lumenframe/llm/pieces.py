@@ -562,6 +562,10 @@ def sample_column(spark: SparkSession, model_path: str, key: Column, text: Colum
 def sample(docs: DataFrame, model_path: str, key_col: str = "doc_id", text_col: str = "text", k: int = K, seed: int = 0, with_ids: bool = True) -> DataFrame:
     """``docs`` without its text, a row for each sampled segmentation.
 
+    Null and empty texts have one segmentation, of no pieces; a long text is
+    sampled whole.  Rows that repeat key and text get the same draws each;
+    null keys count as one key.  Equal perturbed values, which doubles hardly
+    give, go to the path found first.  An empty table gives an empty one.
     Columns of ``docs`` named like a field of a sample are replaced.
     """
     made = {f.name for f in _SAMPLE}

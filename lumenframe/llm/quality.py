@@ -122,7 +122,9 @@ def ledger(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULE
 
     Columns of ``docs`` whose names clash with a measurement or ``failed`` are
     dropped in favour of the ledger's.  Null and empty texts have zero
-    measurements; an empty table gives an empty ledger.
+    measurements; texts of any length are measured whole; repeated rows get a
+    row each; a measurement exactly at a rule's bound passes it; an empty
+    table gives an empty ledger.
     """
     if len(rules) > 63:
         raise ValueError("a ledger holds at most 63 rules")

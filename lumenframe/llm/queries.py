@@ -55,6 +55,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ablation(quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def pieces_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    encoded = table(spark, sf_dir, "documents").select("doc_id", pieces.encode_column(spark, path, F.col("text")).alias("ids"))
+    return encoded.select("doc_id", F.md5(pieces.decode_column(spark, path, F.col("ids"))).alias("digest"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -186,6 +196,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
+RULE_BITS = ("few_words", "repeated_words", "symbols", "short_words", "long_words", "duplicate_lines", "capitals")
+ABLATION_SQL = "WITH f AS (SELECT failed & 127 AS mask FROM (" + OP6_SQL + "))\n" + " UNION ALL ".join(
+    f"SELECT '{rule}' AS rule, CAST(coalesce(sum(CASE WHEN mask & {1 << i} <> 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_failed, CAST(coalesce(sum(CASE WHEN mask = {1 << i} THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_only FROM f"
+    for i, rule in enumerate(RULE_BITS)
+)
+
+#: What encoding takes for a space comes back as one.
+ROUND_TRIP_SQL = "SELECT doc_id, md5(replace(coalesce(text, ''), chr(9601), ' ')) AS digest FROM documents"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_url_filters": op2_url_filters,
@@ -197,6 +216,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_licenses": op9_licenses,
     "op10_top_k": op10_top_k,
+    "quality_ablation": quality_ablation,
+    "pieces_round_trip": pieces_round_trip,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -205,4 +226,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc": OP5_SQL,
     "op6_quality_rules": OP6_SQL,
     "op10_top_k": OP10_SQL,
+    "quality_ablation": ABLATION_SQL,
+    "pieces_round_trip": ROUND_TRIP_SQL,
 }

@@ -107,8 +107,11 @@ def near_duplicates(fingerprinted: DataFrame, id_col: str = "doc_id") -> DataFra
     ``fingerprinted`` has ``id_col`` (long) and ``fp`` (long), and should be
     cheap to read twice.  Adds ``root`` (the group's label, a fingerprint) and
     ``component_id``, the smallest id of the group (nulls count last; null if
-    all are).  Rows with equal ids stay separate rows.  Empty in, empty out.
+    all are); columns of these names are replaced.  Rows with equal ids stay
+    separate rows.  Texts without words have fingerprint 0 and are linked like
+    any other; long ones are hashed whole.  Empty in, empty out.
     """
+    fingerprinted = fingerprinted.drop("root", "component_id")
     distinct = checkpointed(fingerprinted.groupBy("fp").agg(F.min(id_col).alias("least")))
     labels = components(links(distinct.select("fp")))
     rooted = hot_join(distinct, labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
@@ -118,23 +121,6 @@ def near_duplicates(fingerprinted: DataFrame, id_col: str = "doc_id") -> DataFra
     return hot_join(fingerprinted, groups, "fp")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each near-duplicate group, all columns as they are.
-
-    The row with the group's smallest id stays (null ids come last; of rows
-    that share it, one with the smallest content hash).  Fingerprints are
-    made once; the texts are shuffled once, to meet the ids that stay.
-    """
-    c, h, i, none = own_name(docs, "content__", "hash__", "id__", "none__")
-    content = F.xxhash64(F.coalesce("text", F.lit("")))
-    prints = checkpointed(docs.select("doc_id", content.alias(h), fingerprint_column(F.col("text")).alias("fp")))
-    grouped = near_duplicates(prints)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias(none), F.col("doc_id").alias(i), F.col(h))).alias(c)
-    stay = grouped.groupBy("root").agg(first).select(F.coalesce(F.col(f"{c}.{i}").cast("string"), F.lit("null")).alias(i), F.col(f"{c}.{h}").alias(h))
-    keyed = docs.withColumn(i, F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn(h, content)
-    return keyed.join(stay.distinct(), [i, h], "left_semi").dropDuplicates([i, h]).drop(i, h)
-
-
 def shingles(text: bytes | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
     """The sorted distinct XXH64 values of a text's shingles, words and shingles as in ``fingerprint``."""
     words = text.lower().split() if text else []

@@ -55,6 +55,14 @@ def counter(kind: str, raw: bytes) -> Callable[[str], int]:
     return _LOADED[version]
 
 
+def tokenizer_version(kind: str, raw: bytes) -> str:
+    """A digest of the file and of the library that reads it, with its version."""
+    from importlib.metadata import version
+
+    library = {"model": "sentencepiece", "json": "tokenizers"}.get(kind, kind)
+    return hashlib.sha256(f"{library} {version(library)} ".encode() + raw).hexdigest()
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
@@ -71,16 +79,19 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, text_col
     """``docs`` without its text, with ``n_bytes``, ``n_tokens``, ``over_limit``.
 
     Runs the encoding of misses and appends to the cache when called; what is
-    returned only joins to it.  Null texts count as empty.  Columns of
-    ``docs`` that have one of the three names are replaced.  Appending twice
-    the same content (two jobs at once) is harmless: equal keys have equal
-    counts.
+    returned only joins to it.  Null texts count as empty, which has no
+    tokens; whole texts are counted, however long; repeated rows and texts get
+    a row each from one stored count; a text of exactly ``limit`` tokens isn't
+    over it; an empty table gives an empty one.  Columns of ``docs`` that have
+    one of the three names are replaced.  Appending twice the same content
+    (two jobs at once) is harmless: equal keys have equal counts.
     """
     spark = docs.sparkSession
     raw = Path(tokenizer_path).read_bytes()
     if len(raw) > MAX_TOKENIZER_BYTES:
         raise ValueError(f"{tokenizer_path} has over {MAX_TOKENIZER_BYTES} bytes")
-    kind, version = tokenizer_path.rpartition(".")[2], hashlib.sha256(raw).hexdigest()
+    kind = tokenizer_path.rpartition(".")[2]
+    version = tokenizer_version(kind, raw)
     shipped = spark.sparkContext.broadcast(raw)
 
     @F.arrow_udf(T.LongType())

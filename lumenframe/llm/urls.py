@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm.common import own_name
+from lumenframe.llm.common import checkpointed, own_name
 
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _TOKEN = re.compile(r"[a-z0-9]+")
 _HOST_END = re.compile(r"[/?#]")
 _PATH_END = re.compile(r"[?#]")
-#: So many rules make one index; more are judged block by block, so what is
-#: sent to the executors has a bound whatever the number of rules.
+#: So many rules make one index.  More are judged block by block, one after
+#: another, so what a worker holds has a bound whatever the number of rules.
 BLOCK = 50_000
 
 
@@ -56,17 +56,50 @@ PREFIX_RULES = (
 #: Where no prefix rule fits: an allowing pattern wins over blocking ones,
 #: and what none matches is allowed.
 PATTERN_RULES = (
+    # advertising and counting
     *(Rule(p, "block") for p in (
-        "||ads.", "||adserver.", "||tracker.", "||doubleclick.net^", "||pixel.*/collect^", "/ads/*", "/adclick^", "/banner/*.gif", "/popup/*",
-        "/login^", "/signin^", "/logout^", "/register^", "/cart^", "/checkout^", "/search?q=*", "?sessionid=*", "?sid=*&token=*",
-        "/wp-login.php", "/xmlrpc.php", "/cgi-bin/*", "/print/*?print=1",
+        "||ad.", "||ads.", "||adserver.", "||adservice.", "||advert.", "||analytics.", "||banner.", "||beacon.", "||click.", "||clicks.", "||counter.", "||metrics.",
+        "||pixel.*/collect^", "||popads.", "||stats.", "||tag.*/collect^", "||telemetry.", "||track.", "||tracker.", "||tracking.",
+        "/ad/*", "/ads/*", "/adclick^", "/adframe^", "/adserver/*", "/affiliate/*", "/banner/*.gif", "/banners/*", "/doubleclick/*", "/impression^", "/popunder^", "/popup/*", "/sponsor/*",
+        "?utm_source=*&utm_campaign=*", "?gclid=*", "?fbclid=*",
+    )),
+    # pages behind a login, baskets, searches and sessions
+    *(Rule(p, "block") for p in (
+        "/login^", "/log-in^", "/signin^", "/sign-in^", "/signup^", "/sign-up^", "/logout^", "/register^", "/password/*", "/account/*", "/cart^", "/basket^", "/checkout^", "/wishlist^",
+        "/search?q=*", "/search?query=*", "?sessionid=*", "?phpsessid=*", "?jsessionid=*", "?sid=*&token=*", "&sid=*&token=*", "/calendar/*?month=*", "?replytocom=*", "?sort=*&page=*",
+    )),
+    # software's own addresses
+    *(Rule(p, "block") for p in (
+        "/wp-login.php", "/wp-admin/*", "/wp-json/*", "/xmlrpc.php", "/cgi-bin/*", "/print/*?print=1", "/phpmyadmin/*", "/administrator/*", "/feed/*|", "/trackback/|", "/.git/*", "/.env|",
     )),
     Rule("||docs.*/login^", "allow"),
+    Rule("||doc.*/login^", "allow"),
     Rule("/robots.txt|", "allow"),
+    Rule("/sitemap.xml|", "allow"),
 )
 DEFAULT = "allow"
 
 
+def parse_rules(lines: Iterable[str]) -> list[Rule]:
+    """Rules from a list in the common text form: one pattern a line, ``@@`` before what is allowed.
+
+    Comments (``!``, ``#`` and a space, ``[``), rules for page elements
+    (``##`` and the like), expressions between slashes and rules with options
+    (``$``), which say when a rule counts and can't be judged by the url, are left out.
+    """
+    out = []
+    for line in lines:
+        line = line.strip()
+        allowed = line.startswith("@@")
+        pattern = line[2:] if allowed else line
+        if not pattern or pattern[0] in "![" or pattern.startswith("# ") or re.search(r"#@?[#?$]", pattern) or "$" in pattern:
+            continue
+        if len(pattern) > 1 and pattern[0] == pattern[-1] == "/":
+            continue
+        out.append(Rule(pattern, "allow" if allowed else "block"))
+    return out
+
+
 def expression(rule: Rule) -> re.Pattern:
     """A regular expression over host + rest of the URL."""
     p = rule.pattern
@@ -130,8 +163,6 @@ def token_counts(urls: DataFrame, url_col: str, tokens: Iterable[str]) -> dict[s
         return {}
     lowered = F.translate(F.col(f"`{url_col}`"), string.ascii_uppercase, string.ascii_lowercase)
     held = urls.select(F.explode(F.array_distinct(F.split(lowered, "[^a-z0-9]+"))).alias("t"))
-    if len(wanted) <= 2000:
-        return {r[0]: r[1] for r in held.where(F.col("t").isin(wanted)).groupBy("t").count().collect()}
     asked = urls.sparkSession.createDataFrame([(t,) for t in wanted], "t string")
     # counted first, so that a hot token is one row of the join
     return {r[0]: r[1] for r in held.groupBy("t").count().join(asked, "t").collect()}
@@ -207,30 +238,38 @@ def _matcher(sent):
 def judge(pages: DataFrame, rules: Sequence[Rule] = PREFIX_RULES + PATTERN_RULES, url_col: str = "url", default: str = DEFAULT, block: int = BLOCK) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``verdict``, ``pattern``, ``candidates``.
 
-    Null urls and those without ``://`` have empty host and path, match
-    no rule and get the default.  Columns of ``pages`` with one of these names
-    are replaced.  No shuffle: the index travels to the rows, a block of
-    rules at a time.
+    Null and empty urls and those without ``://`` have empty host and path,
+    match no rule and get the default; urls of any length are judged whole.
+    Of equally long rules the greater in code points decides, whatever their
+    order.  Repeated rows get a row each, an empty table gives an empty one.
+    Columns of ``pages`` with one of these names are replaced.  No shuffle of
+    rows: the index travels to them.  With several blocks of rules the rows and
+    what each block found are written between the blocks, so a worker holds
+    one block's index and expressions at a time.
     """
     spark = pages.sparkSession
     counts = token_counts(pages, url_col, set().union(*map(literal_tokens, rules))) if rules else {}
     names = ["host", "path", "rule", "verdict", "pattern", "candidates"]
     blocks = [rules[i : i + block] for i in range(0, len(rules), block)] or [()]
     kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in names]
-    columns = own_name(pages, *[f"found_{i}__" for i in range(len(blocks))])
+    now, old = own_name(pages, "found__", "best__")
+    merged = lambda names, a, b: F.greatest(F.struct(*[F.col(f"{a}.{x}").alias(x) for x in names]), F.struct(*[F.col(f"{b}.{x}").alias(x) for x in names]))
+    by_prefix, by_pattern = ("prefix_len", "prefix", "prefix_verdict"), ("allows", "pattern_len", "pattern")
     out = pages
-    for column, part in zip(columns, blocks):
+    for i, part in enumerate(blocks):
         sent = spark.sparkContext.broadcast((tuple(part), *build_index(part, counts)))
-        out = out.withColumn(column, _matcher(sent)(F.col(f"`{url_col}`")))
-    prefixes = [F.struct(*[F.col(f"{c}.{x}").alias(x) for x in ("prefix_len", "prefix", "prefix_verdict")]) for c in columns]
-    patterns = [F.struct(*[F.col(f"{c}.{x}").alias(x) for x in ("allows", "pattern_len", "pattern")]) for c in columns]
-    a = F.greatest(*prefixes) if len(columns) > 1 else prefixes[0]
-    b = F.greatest(*patterns) if len(columns) > 1 else patterns[0]
-    by_pattern = F.when(b["allows"] == 1, "allow").when(b["allows"] == 0, "block").otherwise(default)
-    tried = F.col(f"{columns[0]}.candidates")
-    for c in columns[1:]:
-        tried = tried + F.col(f"{c}.candidates")
+        out = out.withColumn(now, _matcher(sent)(F.col(f"`{url_col}`")))
+        if i:
+            a, b = merged(by_prefix, now, old), merged(by_pattern, now, old)
+            tried = F.col(f"{now}.candidates") + F.col(f"{old}.candidates")
+            best = F.struct(F.col(f"{now}.host").alias("host"), F.col(f"{now}.path").alias("path"), *[a[x].alias(x) for x in by_prefix], *[b[x].alias(x) for x in by_pattern], tried.alias("candidates"))
+            out = out.withColumn(now, best)
+        if len(blocks) > 1:
+            out = checkpointed(out.drop(old).withColumnRenamed(now, old))
+            sent.destroy()
+    best = now if len(blocks) == 1 else old
+    verdict = F.when(F.col(f"{best}.allows") == 1, "allow").when(F.col(f"{best}.allows") == 0, "block").otherwise(default)
     return out.select(
-        *kept, F.col(f"{columns[0]}.host").alias("host"), F.col(f"{columns[0]}.path").alias("path"), a["prefix"].alias("rule"),
-        F.coalesce(a["prefix_verdict"], by_pattern).alias("verdict"), F.when(a["prefix"].isNull(), b["pattern"]).alias("pattern"), tried.alias("candidates"),
+        *kept, F.col(f"{best}.host").alias("host"), F.col(f"{best}.path").alias("path"), F.col(f"{best}.prefix").alias("rule"), F.coalesce(F.col(f"{best}.prefix_verdict"), verdict).alias("verdict"),
+        F.when(F.col(f"{best}.prefix").isNull(), F.col(f"{best}.pattern")).alias("pattern"), F.col(f"{best}.candidates").alias("candidates"),
     )

@@ -83,10 +83,11 @@ def test_groups_with_nulls_ties_and_repeats(spark):
     for i, (d, _) in enumerate(rows):
         least[group[i]] = min((x for x in (least.get(group[i]), d) if x is not None), default=None)
     assert got == sorted((least[group[i]] is None, least[group[i]], d is None, d) for i, (d, _) in enumerate(rows))
-    kept = simhash.representatives(docs)
+    clash = prints.withColumn("root", F.lit(5)).withColumn("component_id", F.lit("clash"))
+    assert sorted(str((r.doc_id, r.component_id)) for r in simhash.near_duplicates(clash).collect()) == sorted(str((d, least[group[i]])) for i, (d, _) in enumerate(rows))
+    kept = simhash.near_copies(docs)
     assert kept.columns == docs.columns
-    assert kept.count() == len(set(group.values()))
-    assert simhash.representatives(docs.limit(0)).count() == 0
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 1), (False, 2), (False, 9), (True, None)]
 
 
 def plain_set(text):

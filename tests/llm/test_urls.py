@@ -55,3 +55,11 @@ def test_many_rules_take_the_join(spark):
     rules = [urls.Rule(f"/{a}{b}{c}q/", "block") for a in string.ascii_lowercase for b in string.ascii_lowercase for c in "abcd"]
     pages = spark.createDataFrame([(1, "http://x.y/zzaq/"), (2, "http://x.y/zzaqq/")], "page_id long, url string")
     assert {r.page_id: r.verdict for r in urls.judge(pages, rules).collect()} == {1: "block", 2: "allow"}
+
+
+def test_rule_lists_and_long_urls(spark):
+    rules = urls.parse_rules(["! a list", "[Adblock]", "||ads.example^", "@@||ads.example/ok^", "example.com##.banner", "/x[0-9]/", "||a.b^$third-party", "", "# note", "/promo/*"])
+    assert [(r.pattern, r.verdict) for r in rules] == [("||ads.example^", "block"), ("||ads.example/ok^", "allow"), ("/promo/*", "block")]
+    long = "http://h/" + "a/" * 20_000 + "promo/1"
+    pages = spark.createDataFrame([(1, "http://x.ads.example/"), (2, "http://ads.example/ok"), (3, long), (4, "http://h/promo")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urls.judge(pages, rules).collect()} == {1: "block", 2: "allow", 3: "block", 4: "allow"}
