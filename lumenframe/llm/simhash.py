@@ -13,7 +13,10 @@ That is the op1 query.  ``near_copies`` looks for texts whose sets of five-word
 shingles have a Jaccard similarity of 0.8 or more, which differ in some 15 % of
 their SimHash bits, too many for a ball.  It takes ``WIDE`` bits, lets
 texts meet in ``BLOCKS`` blocks of ``BLOCK_BITS`` of them, and compares the
-whole shingle sets of those that met.
+whole shingle sets of those that met and whose longer fingerprints are close.
+A large group of near copies isn't compared pair by pair: members are first
+linked to their nearest in a few blocks, and then only texts of different
+groups are compared in all blocks.
 """
 
 from __future__ import annotations
@@ -37,7 +40,11 @@ SIMILARITY = 0.8
 WIDE = 512
 BLOCKS, BLOCK_BITS = 96, 18
 CHECK_RADIUS = 20  # of the first 64 bits; a pair at the least similarity has 9.7 +- 2.9, an unrelated one 32 +- 4
-CROWD, NEAREST = 64, 8  # a bucket with more members is crowded; first links of a member there
+#: Bits of those that meet another group, and how many may differ: a pair at
+#: the least similarity has 232.7 +- 14.1, one at 0.7 295 +- 15.
+FINE, FINE_RADIUS = 1536, 276
+FIRST, NEAREST = 8, 2  # blocks in which members are linked to their nearest, and to how many
+CROWD = 64  # larger buckets are compared row by row in blocks, others all at once
 _PLACES = np.random.default_rng(5).permuted(np.tile(np.arange(WIDE), (BLOCKS, 1)), axis=1)[:, :BLOCK_BITS]
 
 
@@ -131,10 +138,10 @@ def shingles(text: bytes | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((h64(x, 42) for x in parts), dtype="<u8"))
 
 
-def wide_bits(hashes: np.ndarray) -> np.ndarray:
-    """``WIDE`` SimHash bits of a set of shingles, each counted once."""
-    votes = np.zeros(WIDE, dtype=np.int64)
-    steps = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def wide_bits(hashes: np.ndarray, n: int = WIDE) -> np.ndarray:
+    """``n`` SimHash bits of a set of shingles, each counted once."""
+    votes = np.zeros(n, dtype=np.int64)
+    steps = np.arange(1, n // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, len(hashes), 1 << 12):
         x = hashes[at : at + (1 << 12), None] + steps  # SplitMix64 makes more bits of one hash
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -157,6 +164,11 @@ def _meeting_keys(texts: pa.Array) -> pa.Array:
     return tidy(pa.StructArray.from_arrays([pa.array(check), lists], names=["check", "keys"]))
 
 
+@F.arrow_udf(T.BinaryType())
+def _fine_bits(sets: pa.Array) -> pa.Array:
+    return tidy(pa.array([np.packbits(wide_bits(np.frombuffer(x.as_py(), dtype="<u8"), FINE), bitorder="little").tobytes() for x in sets], type=pa.binary()))
+
+
 @F.arrow_udf(T.BinaryType())
 def _shingle_set(texts: pa.Array) -> pa.Array:
     return tidy(pa.array([shingles(x.as_py()).tobytes() for x in texts.cast(pa.large_binary())], type=pa.binary()))
@@ -178,59 +190,102 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def _met(key: np.ndarray, node: np.ndarray, check: np.ndarray, root: np.ndarray | None, crowd: int = CROWD) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes in equal keys within ``CHECK_RADIUS``.
+def _buckets(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal keys."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=int)
+    return starts, np.diff(np.r_[starts, len(key)])
 
-    Without roots a crowded bucket gives each member's nearest few only, and
-    the member with itself; with roots every pair of different roots.
-    """
-    order = np.argsort(key, kind="stable")
+
+def _nearest(key: np.ndarray, node: np.ndarray, check: np.ndarray, crowd: int = CROWD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each node and its ``NEAREST`` in equal keys, within ``CHECK_RADIUS``."""
+    order = np.lexsort((node, key))
     key, node, check = key[order], node[order], check[order]
-    root = None if root is None else root[order]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=int)
-    sizes = np.diff(np.r_[starts, len(key)])
+    starts, sizes = _buckets(key)
     calm = np.repeat(sizes <= crowd, sizes)
-    out = []
+    far, near = np.full((len(key), NEAREST), 255), np.zeros((len(key), NEAREST), dtype=np.int64)
+
+    def offer(rows: np.ndarray, others: np.ndarray, apart: np.ndarray) -> None:
+        for j in range(NEAREST):
+            closer = apart < far[rows, j]
+            old, held = far[rows, j].copy(), near[rows, j].copy()
+            far[rows, j], near[rows, j] = np.where(closer, apart, old), np.where(closer, others, held)
+            apart, others = np.where(closer, old, apart), np.where(closer, held, others)
+
     for d in range(1, min(crowd, int(sizes.max(initial=0)))):
         i = np.flatnonzero((key[d:] == key[:-d]) & calm[d:])
-        i = i[_apart(check[i], check[i + d]) <= CHECK_RADIUS]
-        if root is not None:
-            i = i[root[i] != root[i + d]]
-        out.append((node[i], node[i + d]))
+        apart = _apart(check[i], check[i + d]).astype(np.int64)
+        offer(i, i + d, apart)
+        offer(i + d, i, apart)
+    for j in range(NEAREST):
+        i = np.flatnonzero(far[:, j] <= CHECK_RADIUS)
+        yield node[i], node[near[i, j]]
     for s, n in zip(starts[sizes > crowd], sizes[sizes > crowd]):
         ids, words = node[s : s + n], check[s : s + n]
         for at in range(0, n, 256):
-            far = _apart(words[at : at + 256, None], words[None, :])
-            if root is None:
-                some = min(NEAREST + 1, n)  # a member is its own nearest
-                near = np.argpartition(far, some - 1, axis=1)[:, :some]
-                i, j = np.repeat(np.arange(len(far)), some), near.ravel()
-                keep = far[i, j] <= CHECK_RADIUS
-                i, j = i[keep], j[keep]
-            else:
-                groups = root[s : s + n]
-                i, j = np.nonzero((far <= CHECK_RADIUS) & (groups[at : at + 256, None] != groups[None, :]))
-            out.append((ids[at : at + 256][i], ids[j]))
-        if root is None:
-            out.append((ids, ids))
-    return out
-
-
-def _meetings(nodes: DataFrame, crowd: int) -> DataFrame:
-    """Distinct pairs ``a`` <= ``b`` of ``node`` that meet in a key; see ``_met`` for those with and without ``root``."""
+            apart = _apart(words[at : at + 256, None], words[None, :]).astype(np.int16)
+            apart[np.arange(len(apart)), at + np.arange(len(apart))] = 255
+            some = np.argpartition(apart, NEAREST - 1, axis=1)[:, :NEAREST]
+            i, j = np.repeat(np.arange(len(apart)), NEAREST), some.ravel()
+            keep = apart[i, j] <= CHECK_RADIUS
+            yield ids[at + i[keep]], ids[j[keep]]
+
+
+def _between(key: np.ndarray, node: np.ndarray, check: np.ndarray, root: np.ndarray, fine: np.ndarray | None = None, crowd: int = CROWD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of nodes with different roots in equal keys within ``CHECK_RADIUS``, and ``FINE_RADIUS`` if their bits are given.
+
+    In a crowded bucket everything is compared with what lies outside its
+    largest group, so a group that fills it costs nothing.
+    """
+    order = np.lexsort((node, key))
+    key, node, check, root = key[order], node[order], check[order], root[order]
+    fine = None if fine is None else fine[order]
+    starts, sizes = _buckets(key)
+    calm = np.repeat(sizes <= crowd, sizes)
+
+    def close(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if fine is not None and len(i):
+            parts = [k[_apart(fine[i[k]], fine[j[k]]).sum(axis=1, dtype=np.int32) <= FINE_RADIUS] for k in np.array_split(np.arange(len(i)), len(i) // 4096 + 1)]
+            keep = np.concatenate(parts)
+            i, j = i[keep], j[keep]
+        return node[i], node[j]
+
+    for d in range(1, min(crowd, int(sizes.max(initial=0)))):
+        i = np.flatnonzero((key[d:] == key[:-d]) & calm[d:])
+        i = i[root[i] != root[i + d]]
+        i = i[_apart(check[i], check[i + d]) <= CHECK_RADIUS]
+        yield close(i, i + d)
+    for s, n in zip(starts[sizes > crowd], sizes[sizes > crowd]):
+        groups, words = root[s : s + n], check[s : s + n]
+        names, counts = np.unique(groups, return_counts=True)
+        others = np.flatnonzero(groups != names[counts.argmax()])
+        for at in range(0, len(others), 256):
+            own = others[at : at + 256]
+            i, j = np.nonzero((_apart(words[own, None], words[None, :]) <= CHECK_RADIUS) & (groups[own, None] != groups[None, :]))
+            yield close(s + own[i], s + j)
+
+
+def _meet(nodes: DataFrame, work, schema: str, names: tuple[str, ...], first: int | None = None) -> DataFrame:
+    """``work`` over the columns ``key`` and ``names`` of all rows of a task, dealt by key."""
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    more = ["root"] if "root" in nodes.columns else []
-    rows = nodes.repartition(n, "node").select("node", "check", *more, F.explode("keys").alias("key")).repartition(n, "key")
+    keys = F.col("keys") if first is None else F.slice("keys", 1, first)
+    rows = nodes.repartition(n, "node").select(*names, F.explode(keys).alias("key")).repartition(n, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "check", *more)] for b in batches]
+        held = [[b.column(c) for c in ("key", *names)] for b in batches]
         if held:
-            columns = [np.concatenate(c) for c in zip(*held)]
-            for a, b in _met(*columns, *[] if more else [None], crowd=crowd):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            columns = [pa.concat_arrays(list(c)) for c in zip(*held)]
+            del held
+            plain = [np.frombuffer(b"".join(c.to_pylist()), dtype="<u8").reshape(len(c), FINE // 64) if n == "fine" else c.to_numpy(zero_copy_only=False) for n, c in zip(("key", *names), columns)]
+            yield from work(*plain)
+
+    return rows.mapInArrow(run, schema)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+
+def _pairs(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for a, b in parts:
+        if len(a):
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
 def near_copies(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -239,38 +294,49 @@ def near_copies(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     Texts are near copies if the Jaccard similarity of their sets of five-word
     shingles is ``SIMILARITY`` or more; groups are chains of such pairs.  Each
     linked pair is verified on its whole sets.  A pair at the least similarity
-    meets in a block with a probability of some 0.99, a more similar one
-    more likely.  In a crowded bucket members are linked to their nearest
-    first; then every pair that these links did not join is compared.  Which
-    row stays, and nulls, as in ``representatives``; texts without words form
-    a group.
+    meets in a block and is close enough with a probability of some 0.99, a
+    more similar one more likely.  Members are first linked to their nearest
+    in a few blocks; then every pair that meets in any block and isn't yet of
+    one group is compared, whatever the size of its bucket.  Which row
+    stays: the one with the smallest id (null ids come last; of rows that
+    share it, one with the smallest content hash).  Repeated rows are copies
+    of each other.  Null and empty texts, and those without words, form one
+    group; whole texts are compared, however long; an empty table gives an
+    empty one.  Names of ``docs`` never clash with those used here.
     """
     c, h, i, none = own_name(docs, "content__", "hash__", "id__", "none__")
     content = F.xxhash64(F.coalesce("text", F.lit("")))
     made = docs.select("doc_id", content.alias("node"), _meeting_keys(F.col("text")).alias("made"))
     prints = checkpointed(made.select("doc_id", "node", "made.check", "made.keys"))
     nodes = checkpointed(prints.select("node", "check", "keys").dropDuplicates(["node"]))
-    met = checkpointed(_meetings(nodes, crowd))
-    crowded = met.where("a = b").select(F.col("a").alias("node"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = hot_join(docs.select(content.alias("node"), "text"), wanted, "node").dropDuplicates(["node"])
-        sets = checkpointed(sets.select("node", _shingle_set(F.col("text")).alias("set")))
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        texts = hot_join(docs.select(content.alias("node"), "text"), wanted, "node").dropDuplicates(["node"])
+        return checkpointed(texts.select("node", _shingle_set(F.col("text")).alias("set")))
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         left = hot_join(pairs, sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         both = hot_join(left, sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         return checkpointed(both.where(_similar(F.col("set_a"), F.col("set_b"))).select("a", "b"))
 
-    def rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
-        joined = hot_join(rows, components(edges), "node", "left")
-        return joined.withColumn("root", F.coalesce("root", "node"))
-
-    edges = verified(met.where("a <> b"))
-    if not crowded.isEmpty():
-        again = checkpointed(_meetings(rooted(hot_join(nodes, crowded, "node"), edges), crowd).where("a <> b"))
-        edges = edges.union(verified(again))
+    def rooted(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return hot_join(rows, labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def opened(key, node, check, root) -> Iterator[pa.RecordBatch]:
+        for a, b in _between(key, node, check, root, crowd=crowd):
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([a, b])))], names=["node"])
+
+    near = checkpointed(_meet(nodes, lambda *x: _pairs(_nearest(*x, crowd=crowd)), "a long, b long", ("node", "check"), FIRST).distinct())
+    edges = verified(near, sets_of(near.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    grouped = checkpointed(rooted(nodes, components(edges)))
+    # who meets another group at all; only these are compared by their longer fingerprints
+    sets = sets_of(checkpointed(_meet(grouped, opened, "node long", ("node", "check", "root")).distinct()))
+    rest = hot_join(grouped, sets.select("node", _fine_bits("set").alias("fine")), "node")
+    between = checkpointed(_meet(rest, lambda *x: _pairs(_between(*x, crowd=crowd)), "a long, b long", ("node", "check", "root", "fine")).distinct())
+    edges = edges.union(verified(between, sets))
     first = F.min(F.struct(F.col("doc_id").isNull().alias(none), F.col("doc_id").alias(i), F.col("node").alias(h))).alias(c)
-    stay = rooted(prints.select("doc_id", "node"), edges).groupBy("root").agg(first)
+    stay = rooted(prints.select("doc_id", "node"), components(edges)).groupBy("root").agg(first)
     stay = stay.select(F.coalesce(F.col(f"{c}.{i}").cast("string"), F.lit("null")).alias(i), F.col(f"{c}.{h}").alias(h))
     keyed = docs.withColumn(i, F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn(h, content)
     return keyed.join(stay.distinct(), [i, h], "left_semi").dropDuplicates([i, h]).drop(i, h)
