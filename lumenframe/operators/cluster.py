@@ -25,6 +25,29 @@ def _numbered(labelled: DataFrame, keys: Sequence[str], label: str, out: str) ->
     return labelled.join(ids, [*keys, label], "left").withColumn(out, F.coalesce(out, F.lit(-1)).cast("long")).drop(label)
 
 
+def with_field(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``field__``: fields of view (a row each) numbered from 0 in the order of ``keys``, of whatever type."""
+    if not keys:
+        return rows.withColumn("field__", F.lit(0).cast("long"))
+    names = rows.select(*[F.col(k).alias(f"k__{k}") for k in keys]).distinct()
+    names = checkpointed(names.withColumn("field__", F.row_number().over(Window.orderBy(*[f"k__{k}" for k in keys])).cast("long") - 1))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"k__{k}"))
+    return rows.join(names, same).drop(*[f"k__{k}" for k in keys])
+
+
+#: Ids of rows stay below; a node's number is its field's times this plus the row's.
+ID_STEP = 1 << 42
+
+
+def _nodes(rows: DataFrame, keys: Sequence[str], *columns: str) -> DataFrame:
+    """Rows as nodes of a graph: ``node`` is unique over the fields of view, ``loc_id`` only within one."""
+    fine = F.assert_true(F.col("loc_id").between(0, ID_STEP - 1), F.lit("loc_id is out of range"))
+    node = F.col("field__") * F.lit(ID_STEP) + F.col("loc_id") + F.coalesce(fine.cast("long"), F.lit(0))
+    return checkpointed(with_field(rows.select(*keys, "loc_id", *columns), keys).withColumn("node", node).drop("field__"))
+
+
 def dbscan(locs: DataFrame, eps: float, min_samples: int, keys: Sequence[str] = ("fov_index",), out: str = "cluster_id") -> DataFrame:
     """Density clusters in ``out``, -1 for noise.
 
@@ -36,18 +59,18 @@ def dbscan(locs: DataFrame, eps: float, min_samples: int, keys: Sequence[str] =
     if eps <= 0:
         raise ValueError("eps must be positive")
     rows = ensure_loc_id(locs)
-    points = checkpointed(rows.select(*keys, "loc_id", "xc", "yc"))
-    pairs = checkpointed(near_pairs(points, points, eps, on=keys).select(*keys, "loc_id", F.col("r_loc_id").alias("other"), "distance"))
-    cores = pairs.groupBy(*keys, "loc_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("loc_id")
-    cores = checkpointed(cores)
-    from_core = hot_join(pairs, cores, "loc_id", "left_semi")
-    edges = hot_join(from_core.select("loc_id", F.col("other").alias("o")), cores.withColumnRenamed("loc_id", "o"), "o", "left_semi")
-    roots = components(edges.where("loc_id < o").select(F.col("loc_id").alias("a"), F.col("o").alias("b")))
-    core_labels = checkpointed(hot_join(cores, roots.select(F.col("node").alias("loc_id"), "root"), "loc_id", "left").select("loc_id", F.coalesce("root", "loc_id").alias("root")))
-    reached = hot_join(from_core, core_labels, "loc_id")
-    best = reached.groupBy("other").agg(F.min(F.struct("distance", "loc_id", "root")).alias("best")).select(F.col("other").alias("loc_id"), F.col("best.root").alias("root__"))
-    labelled = hot_join(rows, best, "loc_id", "left")
-    return _numbered(labelled, keys, "root__", out)
+    points = _nodes(rows, keys, "xc", "yc")
+    place = points.select(*keys, "node", "xc", "yc")
+    pairs = checkpointed(near_pairs(place, place, eps, on=keys).select("node", F.col("r_node").alias("other"), "distance"))
+    cores = checkpointed(pairs.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("node"))
+    from_core = hot_join(pairs, cores, "node", "left_semi")
+    edges = hot_join(from_core.select("node", F.col("other").alias("o")), cores.withColumnRenamed("node", "o"), "o", "left_semi")
+    roots = components(edges.where("node < o").select(F.col("node").alias("a"), F.col("o").alias("b")))
+    core_labels = checkpointed(hot_join(cores, roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    reached = hot_join(from_core, core_labels, "node")
+    best = reached.groupBy("other").agg(F.min(F.struct("distance", "node", "root")).alias("best")).select(F.col("other").alias("node"), F.col("best.root").alias("root__"))
+    label = hot_join(points.select(*keys, "loc_id", "node"), best, "node").drop("node")
+    return _numbered(rows.join(label, [*keys, "loc_id"], "left"), keys, "root__", out)
 
 
 def flag_static(locs: DataFrame, eps: float, min_samples: int, keys: Sequence[str] = ("fov_index",)) -> DataFrame:
@@ -67,15 +90,15 @@ def joint_clusters(locs: DataFrame, d: float, least: int, spatial: Sequence[str]
         return rows.withColumn(out, F.lit(-1).cast("long"))
     axes = [*spatial, *spectral]
     errors = [f"{c}_err" for c in axes]
-    points = checkpointed(rows.select(*keys, "loc_id", *axes, *errors))
-    pairs = near_pairs(points, points, d * math.sqrt(2) * median, on=keys, x=spatial[0], y=spatial[1]).where("loc_id < r_loc_id")
+    points = _nodes(rows, keys, *axes, *errors)
+    place = points.drop("loc_id")
+    pairs = near_pairs(place, place, d * math.sqrt(2) * median, on=keys, x=spatial[0], y=spatial[1]).where("node < r_node")
     squared = sum(((F.col(c) - F.col(f"r_{c}")) ** 2 / (F.col(f"{c}_err") ** 2 + F.col(f"r_{c}_err") ** 2) for c in axes), F.lit(0.0))
-    edges = pairs.where(squared < d * d).select(F.col("loc_id").alias("a"), F.col("r_loc_id").alias("b"))
-    roots = components(edges)
-    labelled = hot_join(rows, roots.select(F.col("node").alias("loc_id"), "root"), "loc_id", "left").withColumn("root", F.coalesce("root", "loc_id"))
-    sizes = labelled.groupBy("root").agg(F.count("*").alias("n__")).where(F.col("n__") >= least)
-    labelled = hot_join(labelled, sizes, "root", "left").withColumn("root__", F.when(F.col("n__").isNotNull(), F.col("root"))).drop("root", "n__")
-    return _numbered(labelled, keys, "root__", out)
+    edges = pairs.where(squared < d * d).select(F.col("node").alias("a"), F.col("r_node").alias("b"))
+    rooted = hot_join(points.select(*keys, "loc_id", "node"), components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("n__")).where(F.col("n__") >= least)
+    label = hot_join(rooted, sizes, "root").select(*keys, "loc_id", F.col("root").alias("root__"))
+    return _numbered(rows.join(label, [*keys, "loc_id"], "left"), keys, "root__", out)
 
 
 def hierarchy_labels(points: np.ndarray, least: int, eps: float = 0.0) -> np.ndarray:
@@ -209,7 +232,7 @@ def molecules_by_hdbscan(locs: DataFrame, least: int, keys: Sequence[str] = ("fo
 
 
 def _finish(labelled: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    frames = labelled.where("cluster_id >= 0").withColumnRenamed("cluster_id", "molecular_index")
+    frames = labelled.where("cluster_id >= 0").drop("molecular_index").withColumnRenamed("cluster_id", "molecular_index")
     return aggregate.molecules(frames, keys=keys), frames
 
 
@@ -229,9 +252,10 @@ def filter_and_cluster(locs: DataFrame, method: str, **options) -> tuple[DataFra
 
 
 def seed_clusters(assigned: DataFrame, eps: float, least: int) -> DataFrame:
-    """Density clusters of each channel; ids are channel * 100000 + cluster."""
-    rows = dbscan(assigned.where("channel >= 0"), eps, least, ("fov_index", "channel"), "cluster")
-    return rows.withColumn("cluster", F.when(F.col("cluster") >= 0, F.col("channel") * 100000 + F.col("cluster")).otherwise(F.lit(-1)))
+    """Density clusters of each channel; ids are channel * 100000 + cluster, or a larger step if a channel has more clusters."""
+    rows = checkpointed(dbscan(assigned.where("channel >= 0"), eps, least, ("fov_index", "channel"), "cluster"))
+    step = max(100_000, (rows.agg(F.max("cluster")).first()[0] or 0) + 1)
+    return rows.withColumn("cluster", F.when(F.col("cluster") >= 0, F.col("channel") * F.lit(step).cast("long") + F.col("cluster")).otherwise(F.lit(-1)))
 
 
 def image_regions(locs: DataFrame, width: float, height: float, oversampling: float = 8.0, threshold: str = "percentile", least_pixels: int = 1, least_rows: int = 1, keys: Sequence[str] = ("fov_index",)) -> tuple[DataFrame, DataFrame]:
@@ -248,10 +272,8 @@ def image_regions(locs: DataFrame, width: float, height: float, oversampling: fl
     limit = count_threshold(pixels, threshold)
     wide = int(math.ceil(width * oversampling)) + 1
     area = wide * (int(math.ceil(height * oversampling)) + 1)
-    code = F.col("py") * wide + F.col("px")
-    for i, k in enumerate(keys):
-        code = code + F.col(k).cast("long") * area if i == 0 else code + F.xxhash64(k) % 1000003 * area
-    bright = checkpointed(pixels.where(F.col("value") > limit).withColumn("id", code))
+    bright = with_field(pixels.where(F.col("value") > limit), keys)
+    bright = checkpointed(bright.withColumn("id", F.col("field__") * F.lit(area).cast("long") + F.col("py") * wide + F.col("px")).drop("field__"))
     steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))]))
     side = bright.select(*keys, F.col("id").alias("a"), "py", "px", steps.alias("s")).select(*keys, "a", (F.col("py") + F.col("s.dy")).alias("py"), (F.col("px") + F.col("s.dx")).alias("px"))
     edges = side.join(bright.select(*keys, "py", "px", F.col("id").alias("b")), [*keys, "py", "px"]).select("a", "b")

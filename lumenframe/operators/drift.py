@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import numeric
 from lumenframe.operators import sequence
-from lumenframe.operators.regions import Circle, picked, with_group
+from lumenframe.operators.regions import link_candidates, near_pairs
 from lumenframe.runtime import checkpointed
 from lumenframe.schema import ensure_loc_id
 
@@ -99,14 +99,8 @@ def correct_by_validated(locs: DataFrame, fiducials: DataFrame, x_error: str = "
     return out.withColumns({"xc": F.col("xc") - F.col("dx"), "yc": F.col("yc") - F.col("dy")}).drop("dx", "dy")
 
 
-def dense_regions(locs: DataFrame, width: float, height: float, percentile: float = 0.99, oversampling: float = 1.0, sigma: float = 1.0) -> DataFrame:
-    """Regions of the smoothed histogram above a percentile of its intensities: centre of mass, area, intensity.
-
-    The image is one histogram, bounded by the camera's size.
-    """
-    from lumenframe.operators import render
-
-    image = render.image_of(render.histogram(locs, oversampling, (0.0, 0.0, height, width)), int(height * oversampling), int(width * oversampling))
+def regions_of(image: np.ndarray, oversampling: float, percentile: float, sigma: float) -> list[tuple[int, float, float, int, float]]:
+    """Regions of a smoothed image above a percentile of its intensities: number, x, y, area, intensity."""
     smooth = numeric.gaussian_filter(image, sigma)
     lit = smooth[smooth > 0]
     labels = numeric.label_regions(smooth > (np.quantile(lit, percentile) if len(lit) else np.inf))
@@ -115,40 +109,75 @@ def dense_regions(locs: DataFrame, width: float, height: float, percentile: floa
         y, x = np.nonzero(labels == i)
         w = smooth[y, x]
         rows.append((i - 1, float((x * w).sum() / w.sum() + 0.5) / oversampling, float((y * w).sum() / w.sum() + 0.5) / oversampling, len(y), float(w.sum())))
-    return locs.sparkSession.createDataFrame(rows, "region int, xc double, yc double, area int, intensity double")
+    return rows
 
 
-def detect_fiducials(locs: DataFrame, width: float, height: float, n_frames: int, percentile: float = 0.99, box: float = 5.0, share: float = 0.8, chunks: int = 1, link_radius: float = 3.0) -> DataFrame:
-    """Picks around dense regions that have a row in enough frames: ``group``, ``xc``, ``yc``.
+def fields_of(locs: DataFrame, keys: Sequence[str]) -> list[str]:
+    """Those of ``keys`` that the table has; without any it is one field of view."""
+    return [k for k in keys if k in locs.columns]
 
-    With several chunks of the movie, candidates must be found in most of them.
+
+def dense_regions(locs: DataFrame, width: float, height: float, percentile: float = 0.99, oversampling: float = 1.0, sigma: float = 1.0, keys: Sequence[str] = ("fov_index",)) -> DataFrame:
+    """Regions of each field's smoothed histogram above a percentile of its intensities: centre of mass, area, intensity.
+
+    A field's image is one task's, bounded by the camera's size.
     """
-    from lumenframe.operators.regions import link_candidates
+    import pandas as pd
+
+    from lumenframe.operators import render
+
+    keys = fields_of(locs, keys)
+    kinds = dict(locs.dtypes)
+    shape = int(height * oversampling), int(width * oversampling)
+    counts = render.histogram(locs, oversampling, (0.0, 0.0, height, width), keys)
 
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros(shape)
+        held = part[(part["py"] < shape[0]) & (part["px"] < shape[1])]
+        image[held["py"], held["px"]] = held["value"]
+        found = pd.DataFrame(regions_of(image, oversampling, percentile, sigma), columns=["region", "xc", "yc", "area", "intensity"])
+        return found.assign(**{k: part[k].iloc[0] for k in keys})[[*keys, "region", "xc", "yc", "area", "intensity"]]
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "region int, xc double, yc double, area int, intensity double"])
+    return counts.groupBy(*keys).applyInPandas(run, schema) if keys else counts.groupBy(F.lit(0).alias("one__")).applyInPandas(run, schema)
+
+
+def rows_around(locs: DataFrame, centres: DataFrame, box: float, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``locs`` in the circles across ``box`` around the centres of their field, with the centre's ``group``."""
+    near = near_pairs(locs, centres.select(*keys, "group", "xc", "yc"), box / 2, on=keys).where(F.col("distance") < box / 2)
+    return near.select(*[F.col(c) for c in locs.columns if c != "group"], F.col("r_group").alias("group"))
+
+
+def detect_fiducials(locs: DataFrame, width: float, height: float, n_frames: int, percentile: float = 0.99, box: float = 5.0, share: float = 0.8, chunks: int = 1, link_radius: float = 3.0, keys: Sequence[str] = ("fov_index",)) -> DataFrame:
+    """Picks around each field's dense regions that have a row in enough frames: the keys, ``group``, ``xc``, ``yc``.
+
+    With several chunks of the movie, candidates must be found in most of them.
+    """
+    keys = fields_of(locs, keys)
     if chunks > 1:
-        parts = None
-        for c in range(chunks):
-            a, b = n_frames * c // chunks, n_frames * (c + 1) // chunks
-            found = dense_regions(locs.where(F.col("frame").between(a, b - 1)), width, height, percentile)
-            part = found.select(F.lit(0).alias("fov_index"), F.lit(c).alias("chunk"), F.col("region").cast("long").alias("candidate_id"), F.col("xc").alias("x"), F.col("yc").alias("y"))
-            parts = part if parts is None else parts.union(part)
-        centres = link_candidates(parts, chunks, link_radius).groupBy("track").agg(F.avg("x").alias("xc"), F.avg("y").alias("yc")).orderBy("track").collect()
+        chunk = F.least(F.floor((F.col("frame") * chunks + chunks - 1) / n_frames), F.lit(chunks - 1)).cast("int")
+        parts = dense_regions(locs.withColumn("chunk", chunk), width, height, percentile, keys=[*keys, "chunk"])
+        parts = parts.select(*keys, "chunk", F.col("region").cast("long").alias("candidate_id"), F.col("xc").alias("x"), F.col("yc").alias("y"))
+        centres = link_candidates(parts, chunks, link_radius, keys=keys).groupBy(*keys, "track").agg(F.avg("x").alias("xc"), F.avg("y").alias("yc")).withColumnRenamed("track", "group")
     else:
-        centres = dense_regions(locs, width, height, percentile).orderBy("region").collect()
-    rows = picked(locs, [Circle(c.xc, c.yc, box / 2) for c in centres])
-    kept = rows.groupBy("group").agg(F.count_distinct("frame").alias("n"), F.avg("xc").alias("xc"), F.avg("yc").alias("yc")).where(F.col("n") >= share * n_frames)
-    return kept.select("group", "xc", "yc")
+        centres = dense_regions(locs, width, height, percentile, keys=keys).withColumnRenamed("region", "group")
+    rows = rows_around(locs.select(*keys, "frame", "xc", "yc"), centres, box, keys)
+    kept = rows.groupBy(*keys, "group").agg(F.count_distinct("frame").alias("n"), F.avg("xc").alias("xc"), F.avg("yc").alias("yc")).where(F.col("n") >= share * n_frames)
+    return kept.select(*keys, F.col("group").cast("int").alias("group"), "xc", "yc")
 
 
-def add_fiducials(locs: DataFrame, centres: DataFrame, box: float = 5.0) -> DataFrame:
-    """Label rows in the boxes around centres by ``group``, -1 elsewhere."""
-    locs = ensure_loc_id(locs)
-    return with_group(locs, picked(locs, [Circle(c.xc, c.yc, box / 2) for c in centres.orderBy("group").collect()]))
+def add_fiducials(locs: DataFrame, centres: DataFrame, box: float = 5.0, keys: Sequence[str] = ("fov_index",)) -> DataFrame:
+    """Label rows around the centres of their field by ``group``, -1 elsewhere; of several the first."""
+    locs, keys = ensure_loc_id(locs), fields_of(locs, keys)
+    rows = rows_around(locs.select(*keys, "loc_id", "xc", "yc"), centres, box, keys)
+    first = rows.groupBy(*keys, "loc_id").agg(F.min("group").alias("group"))
+    return locs.drop("group").join(first, [*keys, "loc_id"], "left").withColumn("group", F.coalesce("group", F.lit(-1)))
 
 
 def undrift_by_fiducials(locs: DataFrame, width: float, height: float, n_frames: int, keys: Sequence[str] = ("fov_index",), **options) -> DataFrame:
-    """Detect markers, estimate, correct."""
-    rows = locs if "group" in locs.columns else add_fiducials(locs, detect_fiducials(locs, width, height, n_frames, **options))
+    """Detect markers, estimate, correct, each field of view by its own."""
+    keys = fields_of(locs, keys)
+    rows = locs if "group" in locs.columns else add_fiducials(locs, detect_fiducials(locs, width, height, n_frames, keys=keys, **options), keys=keys)
     return apply_drift(rows, fiducial_drift(rows, keys), keys)
 
 
@@ -292,33 +321,40 @@ def aim_kernel(frame: np.ndarray, points: np.ndarray, params: Params) -> tuple[i
     return first, total - total.mean(axis=0)
 
 
-def aim_fields(locs: DataFrame, params: Params = Params(), axes: Sequence[str] = ("xc", "yc"), key: str = "fov_index") -> DataFrame:
-    """``aim`` for every field of view, one task each: the key, ``frame``, ``dx``, ``dy`` (``dz``)."""
+def aim_fields(locs: DataFrame, params: Params = Params(), axes: Sequence[str] = ("xc", "yc"), keys: Sequence[str] = ("fov_index",)) -> DataFrame:
+    """``aim`` for every field of view, one task each: the keys, ``frame``, ``dx``, ``dy`` (``dz``)."""
     params.validate()
-    names = {"xc": "dx", "yc": "dy", "z": "dz"}
-    kind = dict(locs.dtypes)[key]
+    names, kinds = {"xc": "dx", "yc": "dy", "z": "dz"}, dict(locs.dtypes)
 
     def run(part):
         import pandas as pd
 
         first, drift = aim_kernel(part["frame"].to_numpy(), part[list(axes)].to_numpy(), params)
-        return pd.DataFrame({key: part[key].iloc[0], "frame": first + np.arange(len(drift)), **{names[a]: drift[:, i] for i, a in enumerate(axes)}})
+        return pd.DataFrame({**{k: part[k].iloc[0] for k in keys}, "frame": first + np.arange(len(drift)), **{names[a]: drift[:, i] for i, a in enumerate(axes)}})
 
-    schema = f"{key} {kind}, frame int, " + ", ".join(f"{names[a]} double" for a in axes)
-    return locs.select(key, "frame", *axes).groupBy(key).applyInPandas(run, schema)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "frame int", *(f"{names[a]} double" for a in axes)])
+    return locs.select(*keys, "frame", *axes).groupBy(*keys).applyInPandas(run, schema)
 
 
-def undrift_aim(locs: DataFrame, params: Params = Params(), axes: Sequence[str] = ("xc", "yc")) -> DataFrame:
-    return apply_drift(locs, aim(locs, params, axes), keys=())
+def undrift_aim(locs: DataFrame, params: Params = Params(), axes: Sequence[str] = ("xc", "yc"), keys: Sequence[str] = ("fov_index",)) -> DataFrame:
+    """Each field of view by its own drift; a table without ``keys`` is one field, handled by the whole cluster."""
+    keys = fields_of(locs, keys)
+    return apply_drift(locs, aim_fields(locs, params, axes, keys) if keys else aim(locs, params, axes), keys)
 
 
-def undrift_auto(locs: DataFrame, width: float, height: float, n_frames: int, params: Params = Params(), least: int = 1) -> DataFrame:
-    """By fiducials if the movie has some, else by intersections."""
-    found = detect_fiducials(locs, width, height, n_frames)
-    if found.limit(least).count() >= least:
-        rows = add_fiducials(locs, found)
+def undrift_auto(locs: DataFrame, width: float, height: float, n_frames: int, params: Params = Params(), least: int = 1, keys: Sequence[str] = ("fov_index",)) -> DataFrame:
+    """Each field of view by its fiducials if it has some, else by intersections."""
+    keys = fields_of(locs, keys)
+    found = checkpointed(detect_fiducials(locs, width, height, n_frames, keys=keys))
+    marked = found.groupBy(*keys).agg(F.count("*").alias("n__")).where(F.col("n__") >= least).drop("n__")
+    if not keys:
+        if found.limit(least).count() < least:
+            return undrift_aim(locs, params, keys=())
+        rows = add_fiducials(locs, found, keys=())
         return apply_drift(rows, fiducial_drift(rows, ()), ()).drop("group")
-    return undrift_aim(locs, params)
+    rows = add_fiducials(locs.join(marked, keys, "left_semi"), found, keys=keys)
+    by_markers = apply_drift(rows, fiducial_drift(rows, keys), keys).drop("group")
+    return by_markers.unionByName(ensure_loc_id(undrift_aim(locs.join(marked, keys, "left_anti"), params, keys=keys)), allowMissingColumns=True)
 
 
 CORRECTORS: dict[str, Callable[..., DataFrame]] = {"aim": undrift_aim, "fiducial": undrift_by_fiducials, "auto": undrift_auto}

@@ -72,15 +72,15 @@ def in_polygon(df: DataFrame, xs: Sequence[float], ys: Sequence[float]) -> DataF
     return df.where(polygon_test(F.col("xc"), F.col("yc"), xs, ys))
 
 
-def polygon_test(x: Column, y: Column, xs: Sequence[float], ys: Sequence[float], closed: bool = False) -> Column:
-    """``closed`` also counts points level with an edge's end, as the rectangle test does."""
+def polygon_test(x: Column, y: Column, xs: Sequence[float], ys: Sequence[float]) -> Column:
+    """An edge counts from its lower end, included, to its upper one, left out: a corner's level counts once."""
     crossings = F.lit(0)
     for i in range(len(xs)):
         xi, yi, xj, yj = map(float, (xs[i], ys[i], xs[i - 1], ys[i - 1]))
         if yi == yj:
             continue
         lo, hi = min(yi, yj), max(yi, yj)
-        span = (y >= lo) & ((y <= hi) if closed else (y < hi))
+        span = (y >= lo) & (y < hi)
         crossings = crossings + F.when(span & (x < (xj - xi) * (y - yi) / (yj - yi) + xi), 1).otherwise(0)
     return crossings % 2 == 1
 

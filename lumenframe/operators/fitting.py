@@ -136,13 +136,14 @@ def columns(strategy: str, names: Sequence[str] = COLOURS) -> list[str]:
 
 
 def fit_spots(spots: DataFrame, unit: Sequence[Sequence[str]], strategy: str = "STANDARD_DATA", sigma: float = 1.0, read_noise: np.ndarray | float = 1.0, hot: float = 50.0) -> DataFrame:
-    """Localisations of cut windows (``frame``, ``y0``, ``x0``, ``size``, ``pixels``); failed fits go."""
+    """Localisations of cut windows (``file``, ``frame``, ``y0``, ``x0``, ``size``, ``pixels``); failed fits go."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}; known: {', '.join(STRATEGIES)}")
     names = [c for c in COLOURS if any(c in row for row in unit)]
     fields = columns(strategy, names)
     extra = [f for f in spots.schema.fields if f.name.startswith("spot_")]
-    schema = ", ".join(["frame int", *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra), *(f"`{c}` double" for c in fields)])
+    keys = im.frame_keys(spots)
+    schema = ", ".join([*keys.values(), *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra), *(f"`{c}` double" for c in fields)])
     noise = spots.sparkSession.sparkContext.broadcast(read_noise)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,20 +160,24 @@ def fit_spots(spots: DataFrame, unit: Sequence[Sequence[str]], strategy: str = "
                 if fit is not None:
                     # a pixel's centre is half a pixel from its corner
                     fit |= {"xc": fit["x"] + x0 + 0.5, "yc": fit["y"] + y0 + 0.5, "xc_err": fit["x_err"], "yc_err": fit["y_err"]}
-                    rows.append([r["frame"], *[r[f.name] for f in extra], *[fit.get(c, math.nan) for c in fields]])
-            yield pd.DataFrame(rows, columns=["frame", *[f.name for f in extra], *fields])
+                    rows.append([*[r[k] for k in keys], *[r[f.name] for f in extra], *[fit.get(c, math.nan) for c in fields]])
+            yield pd.DataFrame(rows, columns=[*keys, *[f.name for f in extra], *fields])
 
     return spots.mapInPandas(run, schema)
 
 
 def localise(frames: DataFrame, unit: Sequence[Sequence[str]], variance: np.ndarray | float = 1.0, gain: np.ndarray | float = 1.0, offset: np.ndarray | float = 0.0, rqe: np.ndarray | float = 1.0, sigma: float = 1.3, box: int = 11, strategy: str = "STANDARD_DATA", demosaic: str = "bilinear", **detection) -> DataFrame:
-    """Movie to localisations: photoelectrons, demosaic, detect, cut, fit, physical filter."""
+    """Movies to localisations: photoelectrons, demosaic, detect, cut, fit, physical filter.
+
+    Frames of several files stay apart: rows keep their ``file``.
+    """
     from lumenframe.operators import filters
 
     electrons = im.map_frames(frames, lambda i: (i - offset) / gain / rqe)
     grey = im.demosaic_frames(electrons, unit, demosaic)
     noise = np.sqrt(variance) / gain
-    spots = im.detect_frames(grey, np.maximum(np.square(noise), 1e-6) + 1.0, sigma, **detection).withColumn("spot_id", F.monotonically_increasing_id())
+    spots = im.detect_frames(grey, np.maximum(np.square(noise), 1e-6) + 1.0, sigma, **detection)
+    spots = spots.withColumn("spot_id", im.spot_key(*im.frame_keys(spots), "y", "x"))
     windows = im.cut_spots(electrons, spots, box)
     rows = fit_spots(windows, unit, strategy, sigma, noise)
     size = frames.agg(F.max("width"), F.max("height")).first()
@@ -180,26 +185,33 @@ def localise(frames: DataFrame, unit: Sequence[Sequence[str]], variance: np.ndar
 
 
 def fit_fixed_places(frames: DataFrame, puncta: DataFrame, unit: Sequence[Sequence[str]], box: int = 11, **options) -> DataFrame:
-    """Fit every frame at the same spots (``y``, ``x``)."""
-    every = frames.select("frame").distinct().crossJoin(puncta.select("y", "x")).withColumn("spot_id", F.monotonically_increasing_id())
+    """Fit every frame at the same spots (``y``, ``x``), those of its file if spots name files."""
+    keys = list(im.frame_keys(frames))
+    places = puncta.select(*[c for c in ("file", "y", "x") if c in puncta.columns and (c != "file" or "file" in keys)])
+    # every frame is to be fitted at every spot, so these are the rows of the result
+    every = frames.select(*keys).distinct()
+    every = every.join(places, "file") if "file" in places.columns else every.crossJoin(places)
+    every = every.withColumn("spot_id", im.spot_key(*keys, "y", "x"))
     return fit_spots(im.cut_spots(frames, every, box), unit, **options)
 
 
 def summed_frames(frames: DataFrame, n: int) -> DataFrame:
-    """The sum of the first ``n`` frames as frame 0."""
-    pixels = im.explode_pixels(frames.where(F.col("frame") < n)).groupBy("y", "x").agg(F.sum("value").alias("v"))
-    rows = pixels.groupBy("y").agg(F.array_sort(F.collect_list(F.struct("x", "v"))).alias("r"))
-    all_rows = rows.agg(F.array_sort(F.collect_list(F.struct("y", "r"))).alias("a"))
+    """The sum of each file's first ``n`` frames as its frame 0."""
+    own = frames if "file" in frames.columns else frames.withColumn("file", F.lit("sum"))
+    pixels = im.explode_pixels(own.where(F.col("frame") < n)).groupBy("file", "y", "x").agg(F.sum("value").alias("v"))
+    rows = pixels.groupBy("file", "y").agg(F.array_sort(F.collect_list(F.struct("x", "v"))).alias("r"))
+    all_rows = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("y", "r"))).alias("a"))
     line = F.flatten(F.transform("a", lambda q: F.transform(q["r"], lambda p: p["v"].cast("float"))))
-    return all_rows.select(F.lit("sum").alias("file"), F.lit(0).alias("frame"), F.size("a").alias("height"), F.size(F.col("a")[0]["r"]).alias("width"), line.alias("pixels"))
+    return all_rows.select("file", F.lit(0).alias("frame"), F.size("a").alias("height"), F.size(F.col("a")[0]["r"]).alias("width"), line.alias("pixels"))
 
 
 def fit_fret(frames: DataFrame, unit: Sequence[Sequence[str]], n_sum: int = 10, box: int = 11, sigma: float = 1.3, penalty: float = 0.05, **options) -> DataFrame:
-    """Detect on the summed first frames, cut traces at their last change, fit the frames before it."""
+    """Detect on each file's summed first frames, cut traces at their last change, fit the frames before it."""
     from lumenframe.operators import sequence
 
-    puncta = im.detect_frames(summed_frames(frames, n_sum), 1.0, sigma).select("y", "x").withColumn("punctum", F.monotonically_increasing_id())
-    traces = sequence.roi_traces(im.explode_pixels(frames), puncta.select("punctum", F.col("y").alias("yc"), F.col("x").alias("xc")), box)
+    frames = frames if "file" in frames.columns else frames.withColumn("file", F.lit("sum"))
+    puncta = im.detect_frames(summed_frames(frames, n_sum), 1.0, sigma).select("file", "y", "x").withColumn("punctum", im.spot_key("file", "y", "x"))
+    traces = sequence.roi_traces(im.explode_pixels(frames), puncta.select("file", "punctum", F.col("y").alias("yc"), F.col("x").alias("xc")), box, ("file",)).drop("file")
     series = traces.withColumnRenamed("frame", "t").withColumnRenamed("punctum", "trace")
     points = sequence.change_points(series, method="level", penalty=penalty)
     kept = sequence.frames_before_last_change(points).join(puncta.withColumnRenamed("punctum", "trace"), "trace").withColumn("spot_id", F.col("trace"))

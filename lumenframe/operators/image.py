@@ -19,6 +19,17 @@ from lumenframe.functions import numeric
 FRAME = "file string, frame int, height int, width int, pixels array<float>"
 
 
+def frame_keys(frames: DataFrame) -> dict[str, str]:
+    """The columns that tell frames apart, with their types: the file, if there is one, and the number."""
+    kinds = dict(frames.dtypes)
+    return {c: f"`{c}` {kinds[c]}" for c in ("file", "frame") if c in kinds}
+
+
+def spot_key(*columns: str):
+    """A spot's own number, the same whenever and wherever it is computed."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 1)
+
+
 def map_frames(frames: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], dtype: str = "float") -> DataFrame:
     """Each frame through a function of its image; the size may change."""
     others = [f for f in frames.schema.fields if f.name not in ("height", "width", "pixels")]
@@ -217,12 +228,11 @@ def cfar(image: np.ndarray, kernel: np.ndarray, pfa: float) -> np.ndarray:
 def local_maxima(image: np.ndarray, mask: np.ndarray, reach: int) -> np.ndarray:
     """(y, x) of masked pixels that are the largest of their window; equal ones give way to the first in reading order."""
     top = numeric.window_extreme(image, 2 * reach + 1)
-    points = np.argwhere(mask & (image >= top))
-    out: list[np.ndarray] = []
-    for p in points:
-        if not any((np.abs(p - q) <= reach).all() and image[tuple(q)] == image[tuple(p)] for q in out[-64:]):
-            out.append(p)
-    return np.array(out, dtype=int).reshape(-1, 2)
+    kept = np.zeros(image.shape, dtype=bool)
+    for y, x in np.argwhere(mask & (image >= top)):
+        near = slice(max(0, y - reach), y + reach + 1), slice(max(0, x - reach), x + reach + 1)
+        kept[y, x] = not (kept[near] & (image[near] == image[y, x])).any()
+    return np.argwhere(kept)
 
 
 def ring_quality(image: np.ndarray, y: int, x: int, guard: int, reference: int, sigma: float = 1.0) -> dict[str, float]:
@@ -289,44 +299,48 @@ def identify(image: np.ndarray, least: float, box: int) -> list[tuple[int, int,
 
 
 def identify_frames(frames: DataFrame, least: float, box: int, roi: tuple[int, int, int, int] | None = None) -> DataFrame:
-    """Identifications of all frames, inside (y0, x0, y1, x1) if given."""
+    """Identifications of all frames of all files, inside (y0, x0, y1, x1) if given."""
+    keys = frame_keys(frames)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             rows = []
-            for f, h, w, px in zip(p["frame"], p["height"], p["width"], p["pixels"]):
+            for f, h, w, px in zip(p[list(keys)].itertuples(index=False), p["height"], p["width"], p["pixels"]):
                 image = np.asarray(px, dtype=float).reshape(h, w)
                 y0, x0 = (roi[0], roi[1]) if roi else (0, 0)
                 image = image[roi[0] : roi[2], roi[1] : roi[3]] if roi else image
-                rows += [(f, y + y0, x + x0, g) for y, x, g in identify(image, least, box)]
-            yield pd.DataFrame(rows, columns=["frame", "y", "x", "net_gradient"])
+                rows += [(*f, y + y0, x + x0, g) for y, x, g in identify(image, least, box)]
+            yield pd.DataFrame(rows, columns=[*keys, "y", "x", "net_gradient"])
 
-    return frames.mapInPandas(run, "frame int, y int, x int, net_gradient double")
+    return frames.mapInPandas(run, f"{', '.join(keys.values())}, y int, x int, net_gradient double")
 
 
 def cut_spots(frames: DataFrame, spots: DataFrame, box: int, least: int = 4) -> DataFrame:
-    """Square windows around spots: ``frame``, ``spot_id``, ``y0``, ``x0``, ``size``, ``pixels``.
+    """Square windows around spots: ``file`` (if frames have one), ``frame``, ``spot_id``, ``y0``, ``x0``, ``size``, ``pixels``.
 
-    A frame meets its spots as one array, so frames aren't repeated; windows
-    that the edge clips to no square are dropped.
+    Spots that name a file belong to its frames only, others to the frame of
+    that number in every file.  A frame meets its spots as one array, so
+    frames aren't repeated; windows that the edge clips to no square are dropped.
     """
+    keys = frame_keys(frames)
+    on = [k for k in keys if k in spots.columns]
     extra = [f for f in spots.schema.fields if f.name.startswith("spot_") and f.name != "spot_id"]
-    held = spots.groupBy("frame").agg(F.collect_list(F.struct("spot_id", "y", "x", *[f.name for f in extra])).alias("spots__"))
-    schema = ", ".join(["frame int, spot_id long, y0 int, x0 int, size int, pixels array<double>", *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)])
+    held = spots.groupBy(*on).agg(F.collect_list(F.struct("spot_id", "y", "x", *[f.name for f in extra])).alias("spots__"))
+    schema = ", ".join([*keys.values(), "spot_id long, y0 int, x0 int, size int, pixels array<double>", *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             rows = []
-            for f, h, w, px, own in zip(p["frame"], p["height"], p["width"], p["pixels"], p["spots__"]):
+            for f, h, w, px, own in zip(p[list(keys)].itertuples(index=False), p["height"], p["width"], p["pixels"], p["spots__"]):
                 image = np.asarray(px, dtype=float).reshape(h, w)
                 for s in own:
                     y0, x0 = max(s["y"] - box // 2, 0), max(s["x"] - box // 2, 0)
                     y1, x1 = min(s["y"] - box // 2 + box, h), min(s["x"] - box // 2 + box, w)
                     if y1 - y0 == x1 - x0 and y1 - y0 >= least:
-                        rows.append((f, s["spot_id"], y0, x0, y1 - y0, image[y0:y1, x0:x1].ravel(), *[s[e.name] for e in extra]))
-            yield pd.DataFrame(rows, columns=["frame", "spot_id", "y0", "x0", "size", "pixels", *[e.name for e in extra]])
+                        rows.append((*f, s["spot_id"], y0, x0, y1 - y0, image[y0:y1, x0:x1].ravel(), *[s[e.name] for e in extra]))
+            yield pd.DataFrame(rows, columns=[*keys, "spot_id", "y0", "x0", "size", "pixels", *[e.name for e in extra]])
 
-    return frames.join(held, "frame").mapInPandas(run, schema)
+    return frames.join(held, on).mapInPandas(run, schema)
 
 
 def to_photons(value, baseline: float, sensitivity: float, gain: float):
@@ -339,7 +353,8 @@ def pixels_above(frames: DataFrame, limit: float) -> DataFrame:
 
 
 def mask_of(points: DataFrame, height: int, width: int) -> DataFrame:
-    """Mask frames from points (``frame``, ``y``, ``x``)."""
-    places = points.groupBy("frame").agg(F.collect_set((F.col("y") * width + F.col("x")).cast("int")).alias("p__"))
+    """Mask frames from points (``frame``, ``y``, ``x``, and ``file`` if they have one)."""
+    keys = [k for k in ("file", "frame") if k in points.columns]
+    places = points.groupBy(*keys).agg(F.collect_set((F.col("y") * width + F.col("x")).cast("int")).alias("p__"))
     filled = F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda i: F.array_contains("p__", i).cast("float"))
-    return places.select("frame", F.lit(height).alias("height"), F.lit(width).alias("width"), filled.alias("pixels"))
+    return places.select(*keys, F.lit(height).alias("height"), F.lit(width).alias("width"), filled.alias("pixels"))

@@ -80,14 +80,21 @@ def link(locs: DataFrame, n_frames: int, d_max: float, dark: int, ambiguous: str
 
 def molecules_by_link(locs: DataFrame, d_max: float, dark: int, by: Sequence[str] = ("fov_index",), **bounds) -> tuple[DataFrame, DataFrame]:
     """Quality filter, chains, molecule and frame tables."""
-    rows = link_groups(filters.quality(locs, **bounds), d_max, dark, by).withColumnRenamed("link_group", "molecular_index")
+    rows = link_groups(filters.quality(locs, **bounds), d_max, dark, by).drop("molecular_index").withColumnRenamed("link_group", "molecular_index")
     return aggregate.molecules(rows, keys=by), rows
 
 
-def mean_event_length(locs: DataFrame, d_max: float, dark: int, most: int = 1_000_000) -> DataFrame:
-    """Mean number of frames of linked events of the first rows, the kinetics of the dye."""
-    first = ensure_loc_id(locs).orderBy("frame", "loc_id").limit(most).withColumn("fov_index", F.lit(0))
-    chains = link_groups(first, d_max, dark).groupBy("link_group").agg((F.max("frame") - F.min("frame") + 1).alias("len"))
+def mean_event_length(locs: DataFrame, d_max: float, dark: int, most: int | None = None, by: Sequence[str] = ("fov_index",)) -> DataFrame:
+    """Mean number of frames of linked events, the kinetics of the dye; of the first ``most`` rows if given.
+
+    Chains stay within a field of view; a table without ``by`` is one field.
+    """
+    rows = ensure_loc_id(locs)
+    for k in by:
+        rows = rows if k in rows.columns else rows.withColumn(k, F.lit(0))
+    if most is not None:
+        rows = rows.orderBy("frame", "loc_id").limit(most)
+    chains = link_groups(rows, d_max, dark, by).groupBy(*by, "link_group").agg((F.max("frame") - F.min("frame") + 1).alias("len"))
     return chains.agg(F.avg("len").alias("mean_length"))
 
 
@@ -181,7 +188,7 @@ def molecules_by_track(locs: DataFrame, d_max: float, dark: int, min_frames: int
     rows = optimal_links(locs, d_max, dark, by=by, **options)
     sizes = rows.groupBy(*by, "track_id").agg(F.count("*").alias("n__")).where(F.col("n__") >= min_frames)
     numbered = sizes.withColumn("molecular_index", F.row_number().over(Window.partitionBy(*by).orderBy("track_id")) - 1).drop("n__")
-    rows = rows.join(numbered, [*by, "track_id"]).drop("track_id")
+    rows = rows.drop("molecular_index").join(numbered, [*by, "track_id"]).drop("track_id")
     return aggregate.molecules(rows, keys=by), rows
 
 

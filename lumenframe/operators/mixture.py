@@ -407,19 +407,43 @@ def separability(spark: SparkSession, names: Sequence[str], model: Mixture, n: i
     return table, pairs
 
 
-def best_dyes(names: Sequence[str], pairs: dict[tuple[str, str], float], k: int, most: int = 200_000) -> tuple[tuple[str, ...], float]:
-    """The k dyes whose worst pair is best: all subsets if they are few, else greedily from the best pair."""
+def best_dyes(names: Sequence[str], pairs: dict[tuple[str, str], float], k: int) -> tuple[tuple[str, ...], float]:
+    """The k dyes whose worst pair is best; of several such sets the first in the order of ``names``.
+
+    The answer's worst pair is one of the pairs' values: the largest for which
+    k dyes exist that all reach it, pair by pair.
+    """
     of = lambda a, b: pairs.get((a, b), pairs.get((b, a), 0.0))
     worst = lambda s: min(of(a, b) for a, b in itertools.combinations(s, 2))
     if k < 2:
         return tuple(names[:k]), 1.0
-    if math.comb(len(names), k) <= most:
-        best = max(itertools.combinations(names, k), key=worst)
-        return best, worst(best)
-    chosen = list(max(itertools.combinations(names, 2), key=lambda p: of(*p)))
-    while len(chosen) < k:
-        chosen.append(max((x for x in names if x not in chosen), key=lambda x: worst([*chosen, x])))
-    return tuple(chosen), worst(chosen)
+    n, values = len(names), sorted({of(a, b) for a, b in itertools.combinations(names, 2)})
+
+    def reaching(least: float) -> tuple[str, ...] | None:
+        """The first k dyes whose pairs all reach ``least``, by going back where too few are left."""
+        friends = [{j for j in range(n) if j > i and of(names[i], names[j]) >= least} for i in range(n)]
+
+        def go(chosen: list[int], rest: set[int]) -> list[int] | None:
+            if len(chosen) == k:
+                return chosen
+            for i in sorted(rest):
+                if len(chosen) + len(rest) < k:
+                    return None
+                found = go([*chosen, i], rest & friends[i])
+                if found:
+                    return found
+                rest = rest - {i}
+            return None
+
+        found = go([], set(range(n)))
+        return found and tuple(names[i] for i in found)
+
+    low, high, best = 0, len(values) - 1, tuple(names[:k])
+    while low <= high:
+        mid = (low + high) // 2
+        found = reaching(values[mid])
+        low, high, best = (mid + 1, high, found) if found else (low, mid - 1, best)
+    return best, worst(best)
 
 
 def nena(histogram: DataFrame, bin_size: float = 0.001, d_max: float = 1.0) -> tuple[float, float]:

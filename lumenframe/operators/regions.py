@@ -18,7 +18,7 @@ from lumenframe.functions import exprs
 from lumenframe.operators.filters import polygon_test
 from lumenframe.schema import ensure_loc_id
 
-#: So many picks go into one expression; more are joined through a grid.
+#: So many picks go into one expression; more are joined through a grid.  The result is the same.
 INLINE_PICKS = 64
 
 
@@ -90,19 +90,23 @@ def picked(locs: DataFrame, picks: Sequence[Pick], group: str = "group") -> Data
     hits = F.array(*[F.when(contains(p, x, y), F.lit(i)) for i, p in enumerate(picks)]) if picks else F.array().cast("array<int>")
     out = locs.withColumn(group, F.explode(F.array_compact(hits)))
     if any(isinstance(p, Rectangle) for p in picks):
-        out = _rotated(out, picks, group)
+        sides = [F.array(*[F.lit(v).cast("double") for v in side]) for side in zip(*map(_axis, picks))]
+        out = _rotated(out, [F.element_at(side, F.col(group) + 1) for side in sides])
     return out
 
 
-def _rotated(df: DataFrame, picks: Sequence[Pick], group: str) -> DataFrame:
-    along, across = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for i, p in enumerate(picks):
-        if isinstance(p, Rectangle):
-            angle = 0.5 * math.pi - math.atan2(p.y1 - p.y0, p.x1 - p.x0)
-            cx, cy = F.col("xc") - (p.x0 + p.x1) / 2, F.col("yc") - (p.y0 + p.y1) / 2
-            along = F.when(F.col(group) == i, cx * math.cos(angle) - cy * math.sin(angle)).otherwise(along)
-            across = F.when(F.col(group) == i, cx * math.sin(angle) + cy * math.cos(angle)).otherwise(across)
-    return df.withColumns({"x_pick_rot": along, "y_pick_rot": across})
+def _axis(pick: Pick) -> tuple[float | None, ...]:
+    """Centre, cosine and sine of a rectangle's axis; nulls for other shapes."""
+    if not isinstance(pick, Rectangle):
+        return None, None, None, None
+    angle = 0.5 * math.pi - math.atan2(pick.y1 - pick.y0, pick.x1 - pick.x0)
+    return (pick.x0 + pick.x1) / 2, (pick.y0 + pick.y1) / 2, math.cos(angle), math.sin(angle)
+
+
+def _rotated(df: DataFrame, axis: Sequence[Column]) -> DataFrame:
+    cx, cy, cos, sin = axis
+    dx, dy = F.col("xc") - cx, F.col("yc") - cy
+    return df.withColumns({"x_pick_rot": dx * cos - dy * sin, "y_pick_rot": dx * sin + dy * cos})
 
 
 def _picked_by_grid(locs: DataFrame, picks: Sequence[Pick], group: str) -> DataFrame:
@@ -113,17 +117,18 @@ def _picked_by_grid(locs: DataFrame, picks: Sequence[Pick], group: str) -> DataF
     for i, (p, b) in enumerate(zip(picks, boxes)):
         corners = None if isinstance(p, Circle) else p.corners()
         if isinstance(p, Circle):
-            rows.append((i, *b, p.x, p.y, p.radius, None, None))
+            rows.append((i, *map(float, b), float(p.x), float(p.y), float(p.radius), None, None, *_axis(p)))
         elif corners:
-            rows.append((i, *b, None, None, None, [float(v) for v in corners[0]], [float(v) for v in corners[1]]))
-    table = spark.createDataFrame(rows, f"`{group}` int, x0 double, y0 double, x1 double, y1 double, px double, py double, pr double, pxs array<double>, pys array<double>")
+            rows.append((i, *map(float, b), None, None, None, [float(v) for v in corners[0]], [float(v) for v in corners[1]], *_axis(p)))
+    table = spark.createDataFrame(rows, f"`{group}` int, x0 double, y0 double, x1 double, y1 double, px double, py double, pr double, pxs array<double>, pys array<double>, ax double, ay double, ac double, as double")
     at = lambda c: F.floor(F.col(c) / cell)
     table = table.withColumn("gx__", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("gy__", F.explode(F.sequence(at("y0"), at("y1"))))
     met = locs.withColumns({"gx__": at("xc"), "gy__": at("yc")}).join(table, ["gx__", "gy__"])
     x, y = F.col("xc"), F.col("yc")
     inside = F.when(F.col("pr").isNotNull(), (x - F.col("px")) ** 2 + (y - F.col("py")) ** 2 < F.col("pr") ** 2).otherwise(exprs.in_polygon(x, y, F.col("pxs"), F.col("pys")))
     out = met.where(inside).drop("gx__", "gy__", "x0", "y0", "x1", "y1", "px", "py", "pr", "pxs", "pys")
-    return _rotated(out, picks, group) if any(isinstance(p, Rectangle) for p in picks) and len(picks) <= 1000 else out
+    axis = ["ax", "ay", "ac", "as"]
+    return (_rotated(out, [F.col(c) for c in axis]) if any(isinstance(p, Rectangle) for p in picks) else out).drop(*axis)
 
 
 def grid_cells(df: DataFrame, size: float, x: str = "xc", y: str = "yc") -> DataFrame:
@@ -163,16 +168,15 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float | Column, on: Se
     return a.join(b, same).withColumn("distance", F.sqrt(squared)).where(F.col("distance") <= limit).drop("gx__", "gy__", "hx__", "hy__")
 
 
-def next_frame_histogram(locs: DataFrame, d_max: float = 1.0, bin_size: float = 0.001, by: Sequence[str] = ("group",)) -> DataFrame:
+def next_frame_histogram(locs: DataFrame, d_max: float = 1.0, bin_size: float = 0.001, by: Sequence[str] = ("group",), hundreds: bool = False) -> DataFrame:
     """Histogram of distances to rows one frame later, within a group.
 
-    Returns ``bin`` and ``n``.  Of N rows in table order the first
-    100 * floor(N / 100) are probes.  The place of a row is found without
-    bringing all rows together: counts of id ranges first, then within.
+    Returns ``bin`` and ``n``.  Every row is a probe; with ``hundreds`` the
+    last N mod 100 rows in table order are none.
     """
     locs = ensure_loc_id(locs)
     by = [c for c in by if c in locs.columns]
-    probes = _first_hundreds(locs)
+    probes = _first_hundreds(locs) if hundreds else locs
     later = locs.select("loc_id", "frame", "xc", "yc", *by).withColumn("frame", F.col("frame") - 1)
     pairs = near_pairs(probes.select("loc_id", "frame", "xc", "yc", *by), later, d_max, on=("frame", *by))
     return pairs.select(F.floor(F.col("distance") / bin_size).alias("bin")).where(F.col("bin") < int(round(d_max / bin_size))).groupBy("bin").agg(F.count("*").alias("n"))
@@ -223,39 +227,41 @@ def nearest_centre(rows: DataFrame, centres: DataFrame, radius: float, on: Seque
     return rows.join(best.select("loc_id", "best.centre_id", "best.distance"), "loc_id", "left")
 
 
-def refine_assignment(rows: DataFrame, centres: DataFrame, eps: float, clear: float, overlap: float, rounds: int = 10, least_new: int = 1) -> DataFrame:
+def refine_assignment(rows: DataFrame, centres: DataFrame, eps: float, clear: float, overlap: float, rounds: int = 10, least_new: int = 1, keys: Sequence[str] = ("fov_index",)) -> DataFrame:
     """Assign unassigned rows (``channel`` -1) by the channels whose centres lie within ``eps``.
 
     With one channel around, the row's ``confidence`` must reach ``clear``;
     with several, ``overlap``; with none it stays.  ``likely`` is the
     candidate channel.  Repeats with new centres until few rows change.
+    Centres count in their own field of view.
     """
     from lumenframe.runtime import checkpointed
 
+    keys = [k for k in keys if k in rows.columns]
     now = checkpointed(rows)
     for _ in range(rounds):
         free = now.where(F.col("channel") == -1)
-        pairs = near_pairs(free.select("loc_id", "xc", "yc", "likely"), centres.select("channel", "xc", "yc"), eps)
-        seen = pairs.groupBy("loc_id").agg(F.count_distinct("r_channel").alias("n"), F.max((F.col("r_channel") == F.col("likely")).cast("int")).alias("own"))
-        won = free.join(seen, "loc_id").where((F.col("own") == 1) & (F.col("confidence") >= F.when(F.col("n") == 1, clear).otherwise(overlap))).select("loc_id", F.col("likely").alias("new__"))
-        now = checkpointed(now.join(won, "loc_id", "left").withColumn("channel", F.coalesce("new__", "channel")))
+        pairs = near_pairs(free.select(*keys, "loc_id", "xc", "yc", "likely"), centres.select(*keys, "channel", "xc", "yc"), eps, on=keys)
+        seen = pairs.groupBy(*keys, "loc_id").agg(F.count_distinct("r_channel").alias("n"), F.max((F.col("r_channel") == F.col("likely")).cast("int")).alias("own"))
+        won = free.join(seen, [*keys, "loc_id"]).where((F.col("own") == 1) & (F.col("confidence") >= F.when(F.col("n") == 1, clear).otherwise(overlap))).select(*keys, "loc_id", F.col("likely").alias("new__"))
+        now = checkpointed(now.join(won, [*keys, "loc_id"], "left").withColumn("channel", F.coalesce("new__", "channel")))
         changed = now.where(F.col("new__").isNotNull()).count()
         now = now.drop("new__")
         if changed < least_new:
             break
-        centres = punctum_centres(now.where("channel >= 0")) if "cluster" in now.columns else centres
+        centres = punctum_centres(now.where("channel >= 0"), keys) if "cluster" in now.columns else centres
     return now
 
 
-def punctum_centres(rows: DataFrame) -> DataFrame:
-    """Mean position of each punctum of each channel."""
-    return rows.groupBy("channel", "cluster").agg(F.avg("xc").alias("xc"), F.avg("yc").alias("yc"))
+def punctum_centres(rows: DataFrame, keys: Sequence[str] = ("fov_index",)) -> DataFrame:
+    """Mean position of each punctum of each channel of each field of view."""
+    return rows.groupBy(*[k for k in keys if k in rows.columns], "channel", "cluster").agg(F.avg("xc").alias("xc"), F.avg("yc").alias("yc"))
 
 
-def link_candidates(candidates: DataFrame, n_chunks: int, radius: float, share: float = 0.6) -> DataFrame:
+def link_candidates(candidates: DataFrame, n_chunks: int, radius: float, share: float = 0.6, keys: Sequence[str] = ("fov_index",)) -> DataFrame:
     """Tracks of candidates across chunks of a movie, by greedy nearest neighbours.
 
-    ``candidates`` has ``fov_index``, ``chunk``, ``candidate_id``, ``x``,
+    ``candidates`` has the keys, ``chunk``, ``candidate_id``, ``x``,
     ``y`` and a few hundred rows for each field of view.  Each candidate is
     used once; tracks seen in ``share`` of the chunks stay.
     """
@@ -275,10 +281,13 @@ def link_candidates(candidates: DataFrame, n_chunks: int, radius: float, share:
                     c = free.pop(i)
                     t |= {"x": c.x, "y": c.y, "members": [*t["members"], (chunk, c.candidate_id, c.x, c.y)]}
             tracks += [{"x": c.x, "y": c.y, "members": [(chunk, c.candidate_id, c.x, c.y)]} for c in free]
-        out = [(rows.fov_index.iloc[0], k, *m) for k, t in enumerate(tracks) if len(t["members"]) >= share * n_chunks for m in t["members"]]
-        return pd.DataFrame(out, columns=["fov_index", "track", "chunk", "candidate_id", "x", "y"])
+        out = [(*[rows[c].iloc[0] for c in keys], k, *m) for k, t in enumerate(tracks) if len(t["members"]) >= share * n_chunks for m in t["members"]]
+        return pd.DataFrame(out, columns=[*keys, "track", "chunk", "candidate_id", "x", "y"])
 
-    return candidates.groupBy("fov_index").applyInPandas(track, "fov_index int, track long, chunk int, candidate_id long, x double, y double")
+    kinds = dict(candidates.dtypes)
+    fields = "".join(f"`{k}` {kinds[k]}, " for k in keys)
+    grouped = candidates.groupBy(*keys) if keys else candidates.groupBy(F.lit(0).alias("one__"))
+    return grouped.applyInPandas(track, f"{fields}track long, chunk int, candidate_id long, x double, y double")
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int | Column = 1) -> DataFrame:

@@ -258,13 +258,18 @@ def fire_fields(locs: DataFrame, size: int, zoom: float, n_blocks: int = 20, rep
 # reductions behind plots
 
 
+def _uniform(df: DataFrame, seed: int) -> Column:
+    """A number in [0, 1) from a row's values, the same however rows are dealt; equal rows share it."""
+    return F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(seed)), 11) / F.lit(float(1 << 53))
+
+
 def preview(locs: DataFrame, n: int, method: str = "random", seed: int = 0, x: str = "xc", y: str = "yc") -> DataFrame:
     """About ``n`` rows: at random, every k-th, or with probability 1 / (density + 1) on a 50 x 50 histogram."""
     if method == "every":
         total = locs.count()
         step = max(1, total // max(1, n))
         return locs.where(F.pmod(F.col("loc_id"), F.lit(step)) == 0).limit(n)
-    key = F.rand(seed)
+    key = _uniform(locs, seed)
     if method == "density":
         from lumenframe.operators.aggregate import bin_index
 
@@ -274,7 +279,7 @@ def preview(locs: DataFrame, n: int, method: str = "random", seed: int = 0, x: s
         cells = locs.withColumns({"bx__": bin_index(F.col(x), x0, max(x1, x0 + 1e-9), 50), "by__": bin_index(F.col(y), y0, max(y1, y0 + 1e-9), 50)})
         density = cells.groupBy("bx__", "by__").agg(F.count("*").alias("n__"))
         rows = cells.join(density, ["bx__", "by__"])
-        return rows.orderBy(-F.ln(1 - F.rand(seed)) * (F.col("n__") + 1)).limit(n).drop("bx__", "by__", "n__")
+        return rows.orderBy(-F.ln(1 - _uniform(locs, seed)) * (F.col("n__") + 1)).limit(n).drop("bx__", "by__", "n__")
     return locs.orderBy(key).limit(n)
 
 

@@ -253,16 +253,17 @@ def frames_before_last_change(points: DataFrame, keys: Sequence[str] = ("trace",
     return changed.select(*keys, F.explode(F.sequence(F.lit(0), F.col("last__") - 1)).alias("frame"))
 
 
-def roi_traces(pixels: DataFrame, puncta: DataFrame, size: int) -> DataFrame:
+def roi_traces(pixels: DataFrame, puncta: DataFrame, size: int, keys: Sequence[str] = ()) -> DataFrame:
     """Sum of the window around each punctum in each frame.
 
-    Windows are dealt to their pixels, so the join is on equal pixels.
+    Windows are dealt to their pixels, so the join is on equal pixels; ``keys``
+    (a file, a field of view) are columns of both sides that must agree too.
     """
     half = size // 2
     span = F.sequence(F.lit(-half), F.lit(size - 1 - half))
-    at = puncta.select("punctum", F.floor("yc").cast("int").alias("y0"), F.floor("xc").cast("int").alias("x0")).withColumn("dy", F.explode(span)).withColumn("dx", F.explode(span))
-    wanted = at.select("punctum", (F.col("y0") + F.col("dy")).alias("y"), (F.col("x0") + F.col("dx")).alias("x"))
-    return pixels.join(wanted, ["y", "x"]).groupBy("punctum", "frame").agg(F.sum("value").alias("value"))
+    at = puncta.select(*keys, "punctum", F.floor("yc").cast("int").alias("y0"), F.floor("xc").cast("int").alias("x0")).withColumn("dy", F.explode(span)).withColumn("dx", F.explode(span))
+    wanted = at.select(*keys, "punctum", (F.col("y0") + F.col("dy")).alias("y"), (F.col("x0") + F.col("dx")).alias("x"))
+    return pixels.join(wanted, [*keys, "y", "x"]).groupBy(*keys, "punctum", "frame").agg(F.sum("value").alias("value"))
 
 
 def molecule_traces(pixels: DataFrame, locs: DataFrame, size: int, label: str = "cluster_id") -> DataFrame:

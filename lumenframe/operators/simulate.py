@@ -178,17 +178,25 @@ def psf_stack(size: int, pixel_um: float, wavelengths_um: Sequence[float], weigh
 # patterns
 
 
-def palette(pixels: DataFrame, least_share: float = 0.01, merge: float = 30.0, background: tuple[int, int, int] | None = None) -> list[tuple[tuple[int, int, int], int]]:
-    """Colours of an image (``r g b`` columns) by count, background first, near ones merged into the more common."""
-    rows = pixels.groupBy("r", "g", "b").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "r", "g", "b").limit(4096).collect()
-    total = sum(r.n for r in rows)
-    back = background or ((rows[0].r, rows[0].g, rows[0].b) if rows else (0, 0, 0))
-    out: list[tuple[tuple[int, int, int], int]] = [(back, sum(r.n for r in rows if (r.r, r.g, r.b) == back))]
-    for r in rows:
-        c = (r.r, r.g, r.b)
-        if r.n >= least_share * total and all(math.dist(c, k) > merge for k, _ in out):
-            out.append((c, r.n))
-    return out
+def palette(pixels: DataFrame, least_share: float = 5e-4, merge: float = 24.0, background: tuple[int, int, int] | None = None) -> list[tuple[tuple[int, int, int], int]]:
+    """Colours of an image (``r g b`` columns) by count, background first, near ones merged into the more common.
+
+    The background is the commonest colour unless named; colours near it stay.
+    Shares are of all pixels, so at most 1 / ``least_share`` rows come to the driver.
+    """
+    counts = pixels.groupBy("r", "g", "b").agg(F.count("*").alias("n"))
+    most = F.max_by(F.struct("r", "g", "b"), F.struct("n", -F.col("r"), -F.col("g"), -F.col("b")))
+    total, top = counts.agg(F.sum("n"), most).first()
+    if not total:
+        return [(background or (0, 0, 0), 0)]
+    back = tuple(background or top)
+    held = counts.where((F.col("r") == back[0]) & (F.col("g") == back[1]) & (F.col("b") == back[2])).agg(F.sum("n")).first()[0] or 0
+    common = counts.where(F.col("n") >= least_share * total).orderBy(F.col("n").desc(), "r", "g", "b").collect()
+    found: dict[tuple[int, int, int], int] = {}
+    for *colour, n in common:
+        if tuple(colour) != back and min((math.dist(colour, k) for k in found), default=math.inf) >= merge:
+            found[tuple(colour)] = n
+    return [(back, held), *found.items()]
 
 
 def masks_of(image: np.ndarray, colours: Sequence[tuple[int, int, int]], background: int = 0) -> dict[tuple[int, int, int], np.ndarray]:

@@ -41,4 +41,4 @@ def locs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_locs(sql: str) -> str:
     """SQL over the derived table for an engine that has ``events``."""
-    return f"WITH locs AS ({LOCS_SQL.format(events='events')})\n{sql}"
+    return f"WITH RECURSIVE locs AS ({LOCS_SQL.format(events='events')})\n{sql}"

@@ -13,10 +13,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.functions import exprs
+from lumenframe.functions import exprs, numeric
 from lumenframe.operators import aggregate, cluster, drift, filters, fitting, image, linking, mixture, regions, render, sequence, simulate, spectral
 from lumenframe.plans.locs import FOV_SIZE, locs, table, with_locs
-from lumenframe.sources import tables
+from lumenframe.runtime import shared_folder
+from lumenframe.sources import tables, tiff
 from lumenframe.streaming import link as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,12 +164,7 @@ def _(spark, d):
     return filters.remove_fiducials(t, stats, 500, density=0.41, above={"A_R": 51.0}).select("loc_id")
 
 
-@query("minimum_rows_guard", "SELECT loc_id FROM locs WHERE fov_index = 0 AND (SELECT count(*) FROM locs WHERE fov_index = 0) >= 100")
-def _(spark, d):
-    return filters.enough(locs(spark, d).where("fov_index = 0"), 100).select("loc_id")
-
-
-@query("minimum_rows_guard_all", "SELECT loc_id FROM locs WHERE (SELECT count(*) FROM locs) >= 100")
+@query("minimum_rows_guard", "SELECT loc_id FROM locs WHERE (SELECT count(*) FROM locs) >= 100")
 def _(spark, d):
     return filters.enough(locs(spark, d), 100).select("loc_id")
 
@@ -228,9 +224,7 @@ def _(spark, d):
 
 
 @query("nena_histogram", """
-WITH e AS (SELECT min(loc_id) AS edge FROM (SELECT loc_id FROM locs ORDER BY loc_id DESC LIMIT (SELECT count(*) % 100 FROM locs))),
-p AS (SELECT * FROM locs, e WHERE edge IS NULL OR loc_id < edge),
-d AS (SELECT sqrt((a.xc - b.xc) * (a.xc - b.xc) + (a.yc - b.yc) * (a.yc - b.yc)) AS distance FROM p a JOIN locs b ON a.fov_index = b.fov_index AND b.frame = a.frame + 1)
+WITH d AS (SELECT sqrt((a.xc - b.xc) * (a.xc - b.xc) + (a.yc - b.yc) * (a.yc - b.yc)) AS distance FROM locs a JOIN locs b ON a.fov_index = b.fov_index AND b.frame = a.frame + 1)
 SELECT CAST(floor(distance / 0.01) AS BIGINT) AS bin, count(*) AS n FROM d WHERE distance <= 1 AND floor(distance / 0.01) < 100 GROUP BY 1""")
 def _(spark, d):
     return regions.next_frame_histogram(locs(spark, d), 1.0, 0.01, ("fov_index",))
@@ -247,10 +241,10 @@ def _(spark, d):
     return regions.exemplar_pairs(t, (0.25, 0.3), (0.4, 0.35), 0.2, 2.0, 40.0, 60.0, 50).select("loc_id", "r_loc_id", "distance")
 
 
-@query("puncta_anti_join", "SELECT loc_id FROM locs WHERE NOT EXISTS (SELECT 1 FROM locs g WHERE g.loc_id % 7 = 0 AND g.frame = locs.frame AND g.xc = locs.xc AND g.yc = locs.yc)")
+@query("puncta_anti_join", "SELECT loc_id FROM locs WHERE NOT EXISTS (SELECT 1 FROM locs g WHERE g.A_R > 60 AND g.frame = locs.frame AND g.xc = locs.xc AND g.yc = locs.yc)")
 def _(spark, d):
     t = locs(spark, d)
-    return regions.without_rows(t, t.where("loc_id % 7 = 0")).select("loc_id")
+    return regions.without_rows(t, t.where("A_R > 60")).select("loc_id")
 
 
 @query("neighbour_counts", """
@@ -261,13 +255,13 @@ def _(spark, d):
 
 
 @query("nearest_centre", f"""
-WITH c AS (SELECT molecular_index AS centre_id, fov_index, avg(xc) AS x, avg(yc) AS y FROM locs WHERE molecular_index % 3 = 0 GROUP BY ALL),
+WITH c AS (SELECT molecular_index AS centre_id, fov_index, avg(xc) AS x, avg(yc) AS y FROM locs GROUP BY ALL),
 n AS (SELECT loc_id, arg_min(centre_id, (d, centre_id)) AS centre_id, min(d) AS distance FROM (
   SELECT l.loc_id, centre_id, sqrt((l.xc - c.x) * (l.xc - c.x) + (l.yc - c.y) * (l.yc - c.y)) AS d FROM locs l JOIN c ON l.fov_index = c.fov_index) WHERE d <= 5 GROUP BY loc_id)
 SELECT loc_id, centre_id, {rs('distance')} FROM locs LEFT JOIN n USING (loc_id)""")
 def _(spark, d):
     t = locs(spark, d)
-    centres = t.where("molecular_index % 3 = 0").groupBy(F.col("molecular_index").alias("centre_id"), "fov_index").agg(F.avg("xc").alias("xc"), F.avg("yc").alias("yc"))
+    centres = t.groupBy(F.col("molecular_index").alias("centre_id"), "fov_index").agg(F.avg("xc").alias("xc"), F.avg("yc").alias("yc"))
     return regions.nearest_centre(t, centres, 5.0, ("fov_index",)).select("loc_id", "centre_id", "distance")
 
 
@@ -289,14 +283,6 @@ def _(spark, d):
 
 @query("molecule_average", f"""
 SELECT molecular_index, count(*) AS frames, {r(WM.format(c='A_R'), 'A_R')}, {r(f'sum({PHOTONS})', 'photons')}, {r('avg(xc)', 'xc')}, {r('avg(chi_sqr)', 'chi_sqr')}
-FROM locs WHERE chi_sqr < (SELECT quantile_cont(chi_sqr, 0.5) FROM locs) AND {QUALITY} GROUP BY molecular_index ORDER BY sum({PHOTONS}) DESC, molecular_index LIMIT 100""")
-def _(spark, d):
-    t = filters.quality(exprs.photon_columns(locs(spark, d)), **BOUNDS)
-    return aggregate.molecules(t).orderBy(F.col("photons").desc(), "molecular_index").limit(100).select("molecular_index", "frames", "A_R", "photons", "xc", "chi_sqr")
-
-
-@query("molecule_average_all", f"""
-SELECT molecular_index, count(*) AS frames, {r(WM.format(c='A_R'), 'A_R')}, {r(f'sum({PHOTONS})', 'photons')}, {r('avg(xc)', 'xc')}, {r('avg(chi_sqr)', 'chi_sqr')}
 FROM locs WHERE chi_sqr < (SELECT quantile_cont(chi_sqr, 0.5) FROM locs) AND {QUALITY} GROUP BY molecular_index""")
 def _(spark, d):
     t = filters.quality(exprs.photon_columns(locs(spark, d)), **BOUNDS)
@@ -470,13 +456,6 @@ def _(spark, d):
 
 
 @query("frame_offset_union", """
-SELECT loc_id, CAST(frame + coalesce((SELECT sum(m) FROM (SELECT fov_index AS f, max(frame) + 1 AS m FROM locs GROUP BY 1) WHERE f < locs.fov_index AND f < 3), 0) AS INT) AS frame FROM locs WHERE fov_index < 3""")
-def _(spark, d):
-    t = locs(spark, d)
-    return sequence.offset_union([t.where(F.col("fov_index") == i).select("loc_id", "frame") for i in range(3)])
-
-
-@query("frame_offset_union_all", """
 , s AS (SELECT fov_index, sum(max(frame) + 1) OVER (ORDER BY fov_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM locs GROUP BY fov_index)
 SELECT loc_id, CAST(frame + coalesce(n, 0) AS INT) AS frame FROM locs JOIN s ON s.fov_index = locs.fov_index""")
 def _(spark, d):
@@ -619,16 +598,6 @@ def _(spark, d):
 
 
 @query("roi_traces", """
-, p AS (SELECT molecular_index AS punctum, CAST(floor(avg(yc)) AS INT) AS y0, CAST(floor(avg(xc)) AS INT) AS x0 FROM locs WHERE molecular_index < 50 GROUP BY 1)
-SELECT punctum, frame, round(sum(A_R), 6) + 0.0 AS value FROM locs JOIN p ON CAST(floor(yc) AS INT) BETWEEN y0 - 2 AND y0 + 2 AND CAST(floor(xc) AS INT) BETWEEN x0 - 2 AND x0 + 2 GROUP BY 1, 2""")
-def _(spark, d):
-    t = locs(spark, d)
-    pixels = t.select("frame", F.floor("yc").cast("int").alias("y"), F.floor("xc").cast("int").alias("x"), F.col("A_R").alias("value"))
-    puncta = t.where("molecular_index < 50").groupBy(F.col("molecular_index").alias("punctum")).agg(F.avg("yc").alias("yc"), F.avg("xc").alias("xc"))
-    return sequence.roi_traces(pixels, puncta, 5)
-
-
-@query("roi_traces_all", """
 , p AS (SELECT molecular_index AS punctum, CAST(floor(avg(yc)) AS INT) AS y0, CAST(floor(avg(xc)) AS INT) AS x0 FROM locs GROUP BY 1)
 SELECT punctum, frame, round(sum(A_R), 6) + 0.0 AS value FROM locs JOIN p ON CAST(floor(yc) AS INT) BETWEEN y0 - 2 AND y0 + 2 AND CAST(floor(xc) AS INT) BETWEEN x0 - 2 AND x0 + 2 GROUP BY 1, 2""")
 def _(spark, d):
@@ -675,7 +644,7 @@ def _(spark, d):
 
 
 @query("fiducial_correction", f"""
-, f AS (SELECT *, CAST(molecular_index % 4 AS INT) AS g FROM locs WHERE molecular_index % 9 = 0),
+, f AS (SELECT *, CAST(molecular_index % 4 AS INT) AS g FROM locs WHERE {PHOTONS} > 150),
 dup AS (SELECT DISTINCT fov_index, g FROM (SELECT fov_index, g, frame FROM f GROUP BY ALL HAVING count(*) > 1)),
 c AS (SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM dup WHERE dup.fov_index = f.fov_index AND dup.g = f.g)),
 m AS (SELECT fov_index, g, quantile_cont(xc, 0.5) AS mx FROM c GROUP BY 1, 2),
@@ -683,7 +652,7 @@ dr AS (SELECT c.fov_index, c.frame, sum((xc - mx) / (xc_err + 1e-10)) / sum(1 /
 SELECT loc_id, {r(f'(xc - dx) * {PIXEL_NM}', 'x_nm')}, loc_id IN (SELECT loc_id FROM c) AS is_fiducial FROM locs JOIN dr ON locs.fov_index = dr.fov_index AND locs.frame = dr.frame""")
 def _(spark, d):
     t = locs(spark, d)
-    fid = t.where("molecular_index % 9 = 0").withColumn("group", (F.col("molecular_index") % 4).cast("int"))
+    fid = t.where(F.col("A_B") + F.col("A_G") + F.col("A_R") > 150).withColumn("group", (F.col("molecular_index") % 4).cast("int"))
     return drift.correct_by_validated(t, fid).select("loc_id", exprs.to_nm(F.col("xc"), PIXEL_NM).alias("x_nm"), "is_fiducial")
 
 
@@ -877,16 +846,43 @@ def _(spark, d):
 # links and clusters
 
 
-@query("link_greedy")
+PLANTED = "dense_rank() OVER (PARTITION BY fov_index ORDER BY molecular_index) - 1"
+
+
+@query("link_greedy", f"SELECT loc_id, {PLANTED} AS link_group FROM locs")
 def _(spark, d):
     return linking.link_groups(locs(spark, d), 0.5, 1).select("loc_id", "link_group")
 
 
-@query("link_events")
+@query("link_events", f"""
+WITH p AS (SELECT *, {PLANTED} AS link_group FROM locs),
+g AS (SELECT fov_index, link_group, min(frame) AS frame, max(frame) AS last, count(*) AS n, sum({PHOTONS}) AS photons FROM p GROUP BY 1, 2)
+SELECT fov_index, link_group, frame, last - frame + 1 AS len, n, {rs('photons')} FROM g WHERE frame > 0 AND last < 499""")
 def _(spark, d):
     return linking.link(exprs.photon_columns(locs(spark, d)), 500, 0.5, 1).select("fov_index", "link_group", "frame", "len", "n", "photons")
 
 
+@query("link_by_place", f"SELECT loc_id, {PLANTED} AS track_id FROM locs")
+def _(spark, d):
+    return linking.optimal_links(locs(spark, d), 0.5, 1, w_spectral=0.0).select("loc_id", "track_id")
+
+
+@query("molecules_by_link", f"""
+WITH k AS (SELECT * FROM locs WHERE chi_sqr < (SELECT quantile_cont(chi_sqr, 0.5) FROM locs)),
+s AS (SELECT *, CASE WHEN frame - lag(frame) OVER w <= 2 THEN 0 ELSE 1 END AS new FROM k WINDOW w AS (PARTITION BY fov_index, molecular_index ORDER BY frame)),
+c AS (SELECT *, sum(new) OVER (PARTITION BY fov_index, molecular_index ORDER BY frame) AS part FROM s)
+SELECT fov_index, min(frame) AS first, count(*) AS n, {r('avg(xc)', 'xc')}, {r('avg(yc)', 'yc')} FROM c GROUP BY fov_index, molecular_index, part""")
+def _(spark, d):
+    rows = linking.molecules_by_link(locs(spark, d), 0.5, 1)[1]
+    out = rows.groupBy("fov_index", "molecular_index").agg(F.min("frame").alias("first"), F.count("*").alias("n"), F.avg("xc").alias("xc"), F.avg("yc").alias("yc"))
+    return out.drop("molecular_index")
+
+
+@query("mean_event_length", f"SELECT {r('avg(len)', 'mean_length')} FROM (SELECT max(frame) - min(frame) + 1 AS len FROM locs GROUP BY fov_index, molecular_index)")
+def _(spark, d):
+    return linking.mean_event_length(locs(spark, d), 0.5, 1)
+
+
 @query("link_optimal")
 def _(spark, d):
     return linking.optimal_links(locs(spark, d), 0.5, 1, tolerance=0.5).select("loc_id", "track_id")
@@ -905,22 +901,47 @@ def _(spark, d):
     return cluster.dbscan(locs(spark, d), 0.1, 4).select("loc_id", "cluster_id")
 
 
-ORACLE_SQL["dbscan"] = ORACLE_SQL["dbscan"].replace("WITH locs", "WITH RECURSIVE locs", 1)
-
-
 @query("hdbscan")
 def _(spark, d):
     return cluster.hdbscan(locs(spark, d), 5).select("loc_id", "cluster_id")
 
 
-@query("joint_clusters")
+@query("static_rows", ORACLE_SQL["dbscan"].replace("SELECT locs.loc_id, coalesce(k, -1) AS cluster_id FROM", "SELECT locs.loc_id, k IS NOT NULL AS is_static FROM"), over_locs=False)
+def _(spark, d):
+    return cluster.flag_static(locs(spark, d), 0.1, 4).select("loc_id", "is_static")
+
+
+WALK = """
+walk AS (SELECT node, node AS root FROM nodes UNION SELECT e.b, walk.root FROM walk JOIN e ON e.a = walk.node),
+lab AS (SELECT node, min(root) AS root FROM walk GROUP BY node)"""
+
+
+@query("joint_clusters", f"""
+, m AS (SELECT quantile_cont(xc_err, 0.5) AS m FROM locs),
+h AS (SELECT a.loc_id AS a, b.loc_id AS b, """ + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c}) / (a.{c}_err * a.{c}_err + b.{c}_err * b.{c}_err)" for c in ("xc", "yc", "A_R", "A_G")) + f""" AS q
+  FROM locs a JOIN locs b ON a.fov_index = b.fov_index AND a.loc_id < b.loc_id, m WHERE sqrt((a.xc - b.xc) * (a.xc - b.xc) + (a.yc - b.yc) * (a.yc - b.yc)) <= 2 * sqrt(2) * m),
+e AS (SELECT a, b FROM h WHERE q < 4 UNION ALL SELECT b, a FROM h WHERE q < 4), nodes AS (SELECT loc_id AS node FROM locs), {WALK},
+big AS (SELECT root FROM lab GROUP BY root HAVING count(*) >= 3),
+num AS (SELECT root, row_number() OVER (PARTITION BY fov_index ORDER BY root) - 1 AS k FROM big JOIN locs ON loc_id = root)
+SELECT loc_id, coalesce(k, -1) AS cluster_id FROM locs JOIN lab ON node = loc_id LEFT JOIN num USING (root)""")
 def _(spark, d):
     return cluster.joint_clusters(exprs.photon_columns(locs(spark, d)), 2.0, 3).select("loc_id", "cluster_id")
 
 
-@query("image_regions")
+@query("image_regions", f"""
+, px AS (SELECT fov_index, CAST(floor(yc) AS BIGINT) AS y, CAST(floor(xc) AS BIGINT) AS x, count(*) AS v FROM locs WHERE xc > 0 AND xc < 256 AND yc > 0 AND yc < 256 GROUP BY ALL),
+bright AS (SELECT *, fov_index * 100000 + y * 257 + x AS id FROM px WHERE v > (SELECT quantile_cont(v, 0.95) FROM px)),
+e AS (SELECT a.id AS a, b.id AS b FROM bright a JOIN bright b ON a.fov_index = b.fov_index AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.id <> b.id),
+nodes AS (SELECT id AS node FROM bright), {WALK},
+big AS (SELECT fov_index, root FROM lab JOIN bright ON id = node GROUP BY 1, 2 HAVING sum(v) >= 3),
+num AS (SELECT fov_index, root, row_number() OVER (PARTITION BY fov_index ORDER BY root) - 1 AS aggregate_id FROM big)
+SELECT locs.fov_index, aggregate_id, count(*) AS n_locs, {r('avg(A_R)', 'mean_R')}, {r('sum(xc / xc_err) / sum(1 / xc_err)', 'xc')}, {r('1 / sqrt(sum(1 / (yc_err * yc_err)))', 'yc_err')}, {r(f'sum({PHOTONS})', 'photons')}
+FROM locs JOIN bright ON bright.fov_index = locs.fov_index AND bright.y = CAST(floor(yc) AS BIGINT) AND bright.x = CAST(floor(xc) AS BIGINT) JOIN lab ON node = id JOIN num ON num.root = lab.root
+GROUP BY 1, 2""")
 def _(spark, d):
-    return cluster.image_regions(exprs.photon_columns(locs(spark, d)), FOV_SIZE, FOV_SIZE, 1.0, least_rows=3)[1]
+    rows, stats = cluster.image_regions(exprs.photon_columns(locs(spark, d)), FOV_SIZE, FOV_SIZE, 1.0, least_rows=3)
+    mean = rows.where("aggregate_id >= 0").groupBy("fov_index", "aggregate_id").agg(F.avg("A_R").alias("mean_R"))
+    return stats.select("fov_index", "aggregate_id", "n_locs", "xc", "yc_err", "photons").join(mean, ["fov_index", "aggregate_id"])
 
 
 @query("unmix_by_cluster")
@@ -940,6 +961,21 @@ def _(spark, d):
     return spark.createDataFrame([(float(s), float(e))], "precision double, spread double")
 
 
+DRIFTING = "xc + frame * 0.002 * (fov_index % 3 - 1) AS xc, yc - frame * 0.003 * (fov_index % 2) AS yc"
+
+
+@query("undrift_multi_fov", f"SELECT fov_index, TRUE AS along, TRUE AS across FROM locs GROUP BY fov_index")
+def _(spark, d):
+    t = locs(spark, d).select("loc_id", "fov_index", "frame", F.col("xc").alias("x0"), F.col("yc").alias("y0"), "xc", "yc")
+    # the same places in every frame, as markers have; each field drifts its own way
+    steady = t.withColumns({"xc": F.round("x0"), "yc": F.round("y0")})
+    places = steady.select("fov_index", "xc", "yc").distinct().join(steady.select("fov_index", "frame").distinct(), "fov_index")
+    seen = places.where("(CAST(xc AS INT) * 31 + CAST(yc AS INT) * 17 + frame) % 5 = 0").selectExpr("fov_index", "frame", "xc AS x0", "yc AS y0", DRIFTING.split(", ")[0], DRIFTING.split(", ")[1])
+    moved = drift.undrift(seen, "aim", params=drift.Params(100, 0.2, 1.6))
+    left = moved.groupBy("fov_index", "x0", "y0").agg(F.stddev_pop("xc").alias("sx"), F.stddev_pop("yc").alias("sy"))
+    return left.groupBy("fov_index").agg((F.avg("sx") < 0.08).alias("along"), (F.avg("sy") < 0.08).alias("across"))
+
+
 @query("aim_drift")
 def _(spark, d):
     return drift.aim_fields(locs(spark, d), drift.Params(125, 0.25, 1.0))
@@ -956,6 +992,60 @@ def _movie(spark):
 UNIT = (("R", "G"), ("G", "B"))
 
 
+#: Spots far from each other and from the border, three frames in each of two files, each file at its own places.
+SCENE_SQL = """SELECT CAST(f AS INT) AS f, CAST(n AS INT) AS frame, CAST(12 + 16 * (i % 4) + f * 3 + (n + i) % 5 * 0.2 AS DOUBLE) AS xc,
+  CAST(14 + 16 * floor(i / CAST(4 AS DOUBLE)) - f * 2 + (n * 3 + i) % 5 * 0.2 AS DOUBLE) AS yc FROM range(2) AS a(f), range(3) AS b(n), range(16) AS c(i)"""
+
+
+def _scene(spark):
+    """The planted spots, and movies of them as one table with two files."""
+    rows = spark.sql(SCENE_SQL).withColumn("photons", F.lit(6000.0))
+    movies = [simulate.movie(rows.where(F.col("f") == f), 3, 80, 80, background=5.0, seed=f, file=f"scene{f}") for f in (0, 1)]
+    return rows.withColumn("file", F.concat(F.lit("scene"), F.col("f").cast("string"))), movies[0].union(movies[1])
+
+
+def _matched(truth, found, reach: float, *more):
+    """Each planted spot with the found ones around it, and those around none as frame -1."""
+    pairs = regions.near_pairs(truth, found, reach, on=("file", "frame"))
+    seen = pairs.groupBy("file", "frame", "xc", "yc").agg(F.count("*").alias("n"), *more)
+    held = truth.join(seen, ["file", "frame", "xc", "yc"], "left").select("file", "frame", "xc", "yc", F.coalesce("n", F.lit(0)).alias("n"), *[c for c in seen.columns if c not in ("file", "frame", "xc", "yc", "n")])
+    return held, found.count() - pairs.count()
+
+
+FOUND_SQL = f"SELECT 'scene' || f AS file, frame, {rs('xc', 'yc')}, CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS false_spots FROM ({SCENE_SQL})"
+
+
+@query("planted_spots_detected", FOUND_SQL, over_locs=False)
+def _(spark, d):
+    truth, frames = _scene(spark)
+    found = image.detect_frames(image.map_frames(frames, lambda i: (i - 100.0) / 2.0), 10.0, 1.3, pfa=1e-7, share=0.5)
+    held, false = _matched(truth, found.select("file", "frame", (F.col("x") + 0.5).alias("xc"), (F.col("y") + 0.5).alias("yc")), 1.5)
+    return held.withColumn("false_spots", F.lit(false).cast("long"))
+
+
+@query("planted_spots_identified", FOUND_SQL, over_locs=False)
+def _(spark, d):
+    truth, frames = _scene(spark)
+    found = image.identify_frames(frames, 4000.0, 7)
+    held, false = _matched(truth, found.select("file", "frame", (F.col("x") + 0.5).alias("xc"), (F.col("y") + 0.5).alias("yc")), 1.5)
+    return held.withColumn("false_spots", F.lit(false).cast("long"))
+
+
+@query("localise_multi_file", f"SELECT 'scene' || f AS file, frame, {rs('xc', 'yc')}, CAST(1 AS BIGINT) AS n, TRUE AS near, TRUE AS bright, TRUE AS wide FROM ({SCENE_SQL})", over_locs=False)
+def _(spark, d):
+    truth, frames = _scene(spark)
+    found = fitting.localise(frames, UNIT, variance=2.0, gain=2.0, offset=100.0).select("file", "frame", "xc", "yc", "s_x", "s_y", (F.col("A_R") + 2 * F.col("A_G") + F.col("A_B")).alias("A"))
+    light = F.avg(F.col("r_A") / 4 * 2 * math.pi * F.col("r_s_x") * F.col("r_s_y"))
+    held, _false = _matched(truth, found, 1.0, (F.max("distance") < 0.15).alias("near"), F.abs(light / 6000 - 1).alias("light"), (F.max(F.abs(F.col("r_s_x") - 1.3)) < 0.2).alias("wide"))
+    return held.withColumn("bright", F.col("light") < 0.15).drop("light")
+
+
+@query("simulated_light", f"SELECT 'scene' || f AS file, frame, TRUE AS near FROM ({SCENE_SQL}) GROUP BY ALL", over_locs=False)
+def _(spark, d):
+    light = F.aggregate("pixels", F.lit(0.0), lambda a, x: a + (x - 100.0) / 2.0)
+    return _scene(spark)[1].select("file", "frame", (F.abs(light / (16 * 6000 + 80 * 80 * 5) - 1) < 0.02).alias("near"))
+
+
 @query("simulated_movie")
 def _(spark, d):
     return _movie(spark).select("frame", "height", "width", F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x).alias("light"))
@@ -1016,8 +1106,237 @@ def _(spark, d):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
-@query("camera_registry")
+@query("camera_registry", "SELECT * FROM (VALUES ('ximea', CAST(0.069 AS DOUBLE), 'BGGR', 'CS505CU_QE.csv'), ('zwo', CAST(0.0715 AS DOUBLE), 'RGGB', 'ASI585MC_QE.csv')) AS v(camera, pixel_um, mosaic, efficiency_file)", over_locs=False)
 def _(spark, d):
     return tables.cameras(spark)
 
 
+# sources and sinks
+
+
+def _folder(spark, name: str) -> str:
+    return shared_folder(spark, name)
+
+
+@query("stored_locs", f"SELECT loc_id, frame, {r(PHOTONS, 'photons')}, {r(f'A_R / {PHOTONS}', 'A_R')} FROM locs WHERE frame >= 10")
+def _(spark, d):
+    path = _folder(spark, "locs")
+    tables.write_locs(locs(spark, d), path)
+    tables.rewrite_sorted(spark, path, f"{path}-sorted")
+    return tables.read_locs(spark, f"{path}-sorted", first_frame=10).select("loc_id", "frame", "photons", "A_R")
+
+
+@query("stored_frames_follow", "SELECT loc_id, CAST(CASE WHEN fov_index = 0 THEN frame ELSE frame + 1 + (SELECT max(frame) FROM locs WHERE fov_index = 0) END AS INT) AS frame FROM locs")
+def _(spark, d):
+    path, t = _folder(spark, "locs"), locs(spark, d)
+    tables.write_locs(t.where("fov_index = 0"), path)
+    tables.write_locs(t.where("fov_index > 0").withColumn("frame", F.col("frame").cast("double")), path, append=True, follow=True)
+    return tables.in_frame_order(tables.read_locs(spark, path)).select("loc_id", "frame")
+
+
+@query("csv_round_trip", f"SELECT loc_id, frame, {rs('xc', 'chi_sqr')} FROM locs")
+def _(spark, d):
+    path = _folder(spark, "csv")
+    tables.write_csv(locs(spark, d).select("loc_id", "frame", "xc", "chi_sqr"), path)
+    return tables.read_csv(spark, path, "loc_id long, frame int, xc double, chi_sqr double")
+
+
+@query("numbers", f"SELECT CAST(event_id AS DOUBLE) AS event_id, CAST(user_id AS DOUBLE) AS user_id, event_type FROM events", over_locs=False)
+def _(spark, d):
+    return tables.as_numbers(table(spark, d, "events").select("event_id", "user_id", "event_type"))
+
+
+@query("movie_metadata", """
+SELECT event_id, CAST(event_id % 7 AS INT) AS x, 2 AS y, 64 AS width, CAST(user_id AS INT) AS height, round(value, 2) + 0.0 AS exposure_ms, 2 AS n_frames, CAST(event_id AS INT) AS vendor_x FROM events""", over_locs=False)
+def _(spark, d):
+    key = F.format_string('"FrameKey-%d-0-0": {"ROI": "%d-2-64-%d", "Exposure-ms": %s}', F.lit(0), F.col("event_id") % 7, F.col("user_id"), F.round("value", 2).cast("string"))
+    text = F.concat(F.lit('{"Summary": {"a": 1}, '), key, F.lit(', "FrameKey-1-0-0": {"ROI": "9-9-9-9"}}'))
+    vendor = F.format_string('{"ROI": {"x": %d, "y": 0, "width": 5, "height": 6}}', F.col("event_id"))
+    t = table(spark, d, "events").select("event_id", tables.imaging_metadata(text).alias("m"), tables.frame_count(text).alias("n_frames"), tables.vendor_roi(vendor).alias("v"))
+    return t.select("event_id", "m.x", "m.y", "m.width", "m.height", "m.exposure_ms", "n_frames", F.col("v.x").alias("vendor_x"))
+
+
+#: Small frames of two files by whole-number arithmetic.
+PIXELS_SQL = "SELECT concat('movie', f) AS file, CAST(n AS INT) AS frame, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST((x * x * 7 + y * 13 + x * y * n + f * 31 + n * 5) % 101 AS DOUBLE) AS value FROM range(2) AS a(f), range(6) AS b(n), range(10) AS c(y), range(12) AS d(x)"
+
+
+def _frames(spark):
+    line = F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "value"))), lambda p: p["value"].cast("float"))
+    return spark.sql(PIXELS_SQL).groupBy("file", "frame").agg(line.alias("pixels")).select("file", "frame", F.lit(10).alias("height"), F.lit(12).alias("width"), "pixels")
+
+
+@query("tiff_round_trip", f"SELECT file, frame, y, x, value, 6 AS n_frames, CAST(frame // 2 AS INT) AS t, CAST(frame % 2 AS INT) AS c FROM ({PIXELS_SQL})", over_locs=False)
+def _(spark, d):
+    folder = _folder(spark, "tiff").removeprefix("file://")
+    tiff.write_tiff(_frames(spark), folder).count()
+    counted = tiff.frame_counts(spark, folder).select(exprs.fov_name("path").alias("file"), "n_frames")
+    back = image.explode_pixels(tiff.read_hyperstack(spark, folder, 1, 2, frames_per_task=4).drop("z")).withColumn("file", exprs.fov_name(F.col("file")))
+    return back.join(counted, "file").select("file", "frame", "y", "x", F.col("value").cast("double").alias("value"), "n_frames", "t", F.col("c").cast("int").alias("c"))
+
+
+def _near_sql(what: str, by: str = "") -> str:
+    """A value from each pixel and those around it; the border stands for what lies beyond."""
+    return f"""WITH p AS ({PIXELS_SQL}), s AS (SELECT i, j FROM range(-1, 2) AS u(i), range(-1, 2) AS v(j))
+SELECT a.file, a.frame, a.y, a.x, {r(what, 'value')} FROM p a, s, p b WHERE b.file = a.file AND b.frame = a.frame {by or 'AND b.y = least(greatest(a.y + i, 0), 9) AND b.x = least(greatest(a.x + j, 0), 11)'} GROUP BY ALL"""
+
+
+def _as_rows(frames):
+    return image.explode_pixels(frames).select("file", "frame", "y", "x", F.col("value").cast("double").alias("value"))
+
+
+@query("median_filtered", _near_sql("quantile_cont(b.value, 0.5)"), over_locs=False)
+def _(spark, d):
+    return _as_rows(image.median_filter_frames(_frames(spark), 3))
+
+
+@query("variance_weighted", _near_sql("sum(b.value / (1 + (b.y + b.x) % 3)) / sum(1.0 / (1 + (b.y + b.x) % 3))", "AND b.y = a.y + i AND b.x = a.x + j").replace("round(sum", "round(sum"), over_locs=False)
+def _(spark, d):
+    y, x = np.indices((10, 12))
+    out = image.map_frames(image.variance_weighted_filter(_frames(spark), 1.0 + (y + x) % 3, 3), lambda i: i, "double")
+    return _as_rows(out).withColumn("value", F.round("value", 3))
+
+
+@query("smoothed_twice", _near_sql("avg(b.value)"), over_locs=False)
+def _(spark, d):
+    return _as_rows(image.smooth_frames(_frames(spark), numeric.uniform_filter, 3, mode="symmetric")).withColumn("value", F.round("value", 3))
+
+
+for _name in ("variance_weighted", "smoothed_twice"):  # the planes are single floats
+    ORACLE_SQL[_name] = ORACLE_SQL[_name].replace(", 6) + 0.0) AS value", ", 3) + 0.0) AS value")
+
+
+@query("binned_frames", f"WITH p AS ({PIXELS_SQL}) SELECT a.file, a.frame, a.y, a.x, sum(b.value) AS value FROM p a JOIN p b ON b.file = a.file AND b.frame = a.frame AND b.y // 2 = a.y // 2 AND b.x // 2 = a.x // 2 GROUP BY ALL", over_locs=False)
+def _(spark, d):
+    return _as_rows(image.bin_frames(_frames(spark), 2))
+
+
+@query("pixel_maps", f"SELECT file, frame, CAST(y - 3 AS INT) AS y, CAST(x - 2 AS INT) AS x, {r('(value - 10) * 0.25', 'photons')} FROM ({PIXELS_SQL}) WHERE value > 20 AND x BETWEEN 2 AND 6 AND y BETWEEN 3 AND 8", over_locs=False)
+def _(spark, d):
+    lit = image.crop_maps(image.pixels_above(_frames(spark), 20.0), 2, 3, 5, 6)
+    return lit.select("file", "frame", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), image.to_photons(F.col("value"), 10.0, 0.5, 2.0).cast("double").alias("photons"))
+
+
+@query("mask_frames", f"SELECT file, frame, y, x, CAST(CASE WHEN value > 90 THEN 1 ELSE 0 END AS DOUBLE) AS value FROM ({PIXELS_SQL}) WHERE (file, frame) IN (SELECT (file, frame) FROM ({PIXELS_SQL}) WHERE value > 90)", over_locs=False)
+def _(spark, d):
+    return _as_rows(image.mask_of(spark.sql(PIXELS_SQL).where("value > 90"), 10, 12))
+
+
+@query("summed_files", f"SELECT file, 0 AS frame, y, x, sum(value) AS value FROM ({PIXELS_SQL}) WHERE frame < 4 GROUP BY ALL", over_locs=False)
+def _(spark, d):
+    return _as_rows(fitting.summed_frames(_frames(spark), 4))
+
+
+# more expressions, filters and reductions
+
+
+@query("scalar_formulas", f"""
+SELECT loc_id, {r('1239.841984 / (500 + s_x)', 'energy')}, {r('coalesce(A_R / (A_R + A_G), 0)', 'duty')}, {r('s_x * sqrt(1 + A_R * 0.01 / 4)', 'moving')},
+  {r('CASE WHEN bg_R > 15 THEN 1e-8 ELSE 1 / (greatest(A_R - 20, 0) + 1 + bg_R * bg_R) END', 'weight')}, {r('5 * exp(-((xc - 100) * (xc - 100) + (yc - 90) * (yc - 90)) / (2 * 40 * 40))', 'spot')}, {r('s_x / (2 * sqrt(2 * ln(2)))', 'sigma')} FROM locs""")
+def _(spark, d):
+    c = F.col
+    return locs(spark, d).select(
+        "loc_id", exprs.photon_energy_ev(500 + c("s_x")).alias("energy"), exprs.duty_cycle(c("A_R"), c("A_G")).alias("duty"), (exprs.dynamic_error(1.0, 2.0, c("A_R"), 0.01) * c("s_x")).alias("moving"),
+        exprs.pixel_weight(c("A_R") - 20, c("bg_R"), 15.0).alias("weight"), exprs.gauss2d(c("xc"), c("yc"), 100.0, 90.0, 40.0, 5.0).alias("spot"), exprs.sigma_of_fwhm(c("s_x")).alias("sigma"),
+    )
+
+
+@query("photoelectron_arrays", f"SELECT vec_id, i, {r('(CAST(embedding[i] AS DOUBLE) - 0.5) / 2 / 0.8', 'value')} FROM (SELECT vec_id, embedding, CAST(unnest(range(1, len(embedding) + 1)) AS INT) AS i FROM embeddings)", over_locs=False)
+def _(spark, d):
+    v = F.col("embedding").cast("array<double>")
+    same = lambda x: F.transform(v, lambda _: F.lit(x))
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(exprs.photoelectrons(v, same(2.0), same(0.5), same(0.8))).alias("p", "value"))
+    return rows.select("vec_id", (F.col("p") + 1).alias("i"), "value")
+
+
+@query("rows_in_circle", "SELECT loc_id FROM locs WHERE (xc - 100) * (xc - 100) + (yc - 90) * (yc - 90) < 2500")
+def _(spark, d):
+    return filters.in_circle(filters.validated(locs(spark, d)), 100.0, 90.0, 50.0).select("loc_id")
+
+
+@query("rows_in_polygon", f"SELECT loc_id FROM locs WHERE {_poly_sql(POLY)}")
+def _(spark, d):
+    xs, ys = zip(*POLY[:-1])
+    return filters.in_polygon(locs(spark, d), xs, ys).select("loc_id")
+
+
+@query("rows_in_rectangle", f"SELECT loc_id FROM locs WHERE {_poly_sql([*zip(*RECT.corners()), None])}")
+def _(spark, d):
+    return filters.in_rectangle(locs(spark, d), *RECT.corners()).select("loc_id")
+
+
+@query("pick_many_rectangles", f"""
+WITH p AS (SELECT i AS g, CAST(i * 37 % 240 AS DOUBLE) AS x, CAST(i * 91 % 240 AS DOUBLE) AS y FROM range(1200) AS v(i))
+SELECT loc_id, CAST(g AS INT) AS "group", CAST(floor((xc - (x + 4)) * 10 + 0.001) AS BIGINT) AS along, CAST(floor(abs(yc - y) * 10 + 0.001) AS BIGINT) AS across FROM locs JOIN p ON abs(xc - (x + 4)) < 3.9999 AND abs(yc - y) < 1.9999""")
+def _(spark, d):
+    picks = [regions.Rectangle(float(i * 37 % 240), float(i * 91 % 240), float(i * 37 % 240) + 8, float(i * 91 % 240), 4.0) for i in range(1200)]
+    out = regions.picked(locs(spark, d), picks).where("abs(y_pick_rot) < 3.9999 AND abs(x_pick_rot) < 1.9999")  # not the edges
+    return out.select("loc_id", "group", F.floor(F.col("y_pick_rot") * 10 + 0.001).alias("along"), F.floor(F.abs("x_pick_rot") * 10 + 0.001).alias("across"))
+
+
+@query("index_blocks", "SELECT loc_id FROM locs WHERE floor(xc / 20) BETWEEN 4 AND 6 AND floor(yc / 20) BETWEEN 3 AND 5")
+def _(spark, d):
+    return regions.row_places(locs(spark, d), regions.around(locs(spark, d), 100.0, 90.0, 20.0)).select("loc_id")
+
+
+@query("group_means", f"SELECT molecular_index, {r('CAST(CAST(avg(A_R) AS FLOAT) AS DOUBLE)', 'A_R')} FROM locs GROUP BY 1")
+def _(spark, d):
+    return aggregate.group_mean(locs(spark, d), "molecular_index", "A_R").withColumn("A_R", F.col("A_R").cast("double"))
+
+
+@query("grid_edges", f"""
+WITH b AS (SELECT 'x' AS axis, min(xc) AS lo, max(xc) AS hi FROM locs UNION ALL SELECT 'y', min(yc), max(yc) FROM locs)
+SELECT axis, i, {r('lo + i * 16', 'edge')}, {r('lo + i * 16 + 8', 'centre')} FROM (SELECT axis, lo, unnest(range(0, CAST(ceil((hi - lo) / 16) AS BIGINT) + 1)) AS i FROM b)""")
+def _(spark, d):
+    return aggregate.spatial_grid(locs(spark, d), 16.0)
+
+
+@query("labelled_molecules", f"SELECT molecular_index + 5 AS molecular_index, count(*) AS frames, {r('avg(xc)', 'xc')} FROM locs WHERE molecular_index % 3 <> 0 GROUP BY 1")
+def _(spark, d):
+    t = exprs.photon_columns(locs(spark, d)).withColumn("cluster_id", F.when(F.col("molecular_index") % 3 == 0, F.lit(-1)).otherwise(F.col("molecular_index"))).drop("molecular_index")
+    return aggregate.finish_clustering(t, offset=5)[0].select("molecular_index", "frames", "xc")
+
+
+@query("render_smooth", """
+, h AS (SELECT CAST(floor(yc * 2) AS INT) AS y, CAST(floor(xc * 2) AS INT) AS x, count(*) AS v FROM locs WHERE xc > 0 AND xc < 256 AND yc > 0 AND yc < 256 GROUP BY 1, 2),
+k AS (SELECT CAST(i AS INT) AS i, exp(-0.5 * i * i) / (SELECT sum(exp(-0.5 * q * q)) FROM range(-4, 5) AS w(q)) AS w FROM range(-4, 5) AS u(i))
+SELECT CAST(y + a.i AS INT) AS py, CAST(x + b.i AS INT) AS px, round(sum(v * a.w * b.w), 6) + 0.0 AS value FROM h, k a, k b WHERE y + a.i BETWEEN 0 AND 511 AND x + b.i BETWEEN 0 AND 511 GROUP BY 1, 2""")
+def _(spark, d):
+    return render.render(locs(spark, d), 2.0, VIEW, "smooth")
+
+
+@query("render_rgb", SPLAT.replace("A_R AS c", "A_R AS c, A_G AS c2") .replace("w, c, exp", "w, c, c2, exp") + f" SELECT py, px, {r('sum(w * g)', 'value')}, {r('sum(w * g * c) / sum(w * g)', 'A_R')}, {r('sum(w * g * c2) / sum(w * g)', 'A_G')} FROM g GROUP BY 1, 2")
+def _(spark, d):
+    return render.gaussian_rgb(exprs.photon_columns(locs(spark, d)), 2.0, VIEW, 0.3).select("py", "px", "value", "A_R", "A_G")
+
+
+@query("segment_edges", "SELECT CAST(i AS INT) AS segment, CAST(floor(i * 999 / 10.0) AS INT) AS start, CAST(floor((i + 1) * 999 / 10.0) AS INT) AS stop FROM range(10) AS v(i)", over_locs=False)
+def _(spark, d):
+    return sequence.segment_bounds(spark, 1000, 100)
+
+
+# markers of several fields of view
+
+MARKERS_SQL = """
+SELECT CAST(f AS INT) AS fov_index, CAST(n AS INT) AS frame, CAST(20 + 25 * i + 7 * f AS DOUBLE) + 0.5 + n * 0.004 * (f - 1) AS xc, CAST(30 + 20 * i - 4 * f AS DOUBLE) + 0.5 - n * 0.003 * f AS yc
+FROM range(3) AS a(f), range(200) AS b(n), range(3) AS c(i)"""
+
+
+@query("markers_per_field", "SELECT CAST(f AS INT) AS fov_index, CAST(i AS INT) AS place, TRUE AS near FROM range(3) AS a(f), range(3) AS c(i)", over_locs=False)
+def _(spark, d):
+    found = drift.detect_fiducials(spark.sql(MARKERS_SQL), 128.0, 128.0, 200, percentile=0.5)
+    place = F.round((F.col("xc") - 20.5 - 7 * F.col("fov_index")) / 25).cast("int")
+    near = (F.abs(F.col("xc") - 20.5 - 7 * F.col("fov_index") - 25 * place) < 1) & (F.abs(F.col("yc") - 30.5 + 4 * F.col("fov_index") - 20 * place) < 1)
+    return found.select("fov_index", place.alias("place"), near.alias("near"))
+
+
+@query("undrift_by_markers", "SELECT CAST(f AS INT) AS fov_index, method, TRUE AS along, TRUE AS across FROM range(3) AS a(f), (VALUES ('auto'), ('fiducial')) AS m(method)", over_locs=False)
+def _(spark, d):
+    t = spark.sql(MARKERS_SQL).withColumn("place", F.round((F.col("yc") + 4 * F.col("fov_index") - 30.5) / 20).cast("int"))
+    t = t.withColumn("loc_id", (F.col("fov_index") * 1000 + F.col("frame")) * 10 + F.col("place"))
+    out = None
+    for method, options in (("auto", {}), ("fiducial", {"percentile": 0.5})):
+        moved = drift.undrift(t, method, width=128.0, height=128.0, n_frames=200, **options)
+        left = moved.groupBy("fov_index", "place").agg(F.stddev_pop("xc").alias("sx"), F.stddev_pop("yc").alias("sy"))
+        part = left.groupBy("fov_index").agg((F.max("sx") < 0.1).alias("along"), (F.max("sy") < 0.1).alias("across")).withColumn("method", F.lit(method))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is
-    unset, as in local tests, a temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``, or the application by
+    ``setCheckpointDir``.  Only in a local session that does neither, as in
+    tests, a temporary folder takes its place.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -23,6 +24,8 @@ def shared_root(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named.rstrip("/")
     if current.isEmpty():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that the driver and all executors see")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lumenframe-"))
         current = context._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenframe.runtime import checkpointed
+
 COLOURS = ("R", "G", "B")
 AMPLITUDES = ("A_B", "A_G", "A_R")
 BACKGROUNDS = ("bg_B", "bg_G", "bg_R")
@@ -26,8 +28,11 @@ def localisation_schema(elliptical: bool = False) -> T.StructType:
 
 
 def ensure_loc_id(df: DataFrame) -> DataFrame:
-    """Give rows a ``loc_id`` if they have none: the order of the file, which several operators read."""
-    return df if "loc_id" in df.columns else df.withColumn("loc_id", F.monotonically_increasing_id())
+    """Give rows a ``loc_id`` if they have none: the order of the file, which several operators read.
+
+    New ids are made once and kept, so a task that runs again sees the same.
+    """
+    return df if "loc_id" in df.columns else checkpointed(df.withColumn("loc_id", F.monotonically_increasing_id()))
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:

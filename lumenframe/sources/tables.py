@@ -149,13 +149,20 @@ def required(info: DataFrame, *names: str) -> DataFrame:
     return out.select("*", *[F.coalesce(F.col("all__")[n], F.raise_error(F.lit(f"metadata lacks {n}")).cast("string")).alias(n) for n in names]).drop("all__")
 
 
-#: Camera name, pixel size in micrometres, mosaic, bits.
+#: Camera name, pixel size in micrometres at the sample, mosaic tile by rows, file of its efficiencies.
 CAMERAS = (
-    ("colour_small", 3.45, "RGGB", 12),
-    ("colour_large", 5.86, "RGGB", 12),
-    ("mono", 6.5, "MMMM", 16),
+    ("ximea", 0.069, "BGGR", "CS505CU_QE.csv"),
+    ("zwo", 0.0715, "RGGB", "ASI585MC_QE.csv"),
 )
 
 
 def cameras(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CAMERAS, "camera string, pixel_um double, mosaic string, bits int")
+    return spark.createDataFrame(CAMERAS, "camera string, pixel_um double, mosaic string, efficiency_file string")
+
+
+def camera(name: str) -> tuple[float, list[list[str]], str]:
+    """Pixel size, mosaic tile and efficiency file of a camera, whatever the name's case."""
+    for own, pixel, tile, file in CAMERAS:
+        if own == name.lower():
+            return pixel, [list(tile[:2]), list(tile[2:])], file
+    raise ValueError(f"unknown camera {name}; known: {', '.join(c[0] for c in CAMERAS)}")

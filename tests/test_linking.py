@@ -129,3 +129,22 @@ def test_joint_clusters_need_colour_too(spark):
     got = {r.loc_id: r.cluster_id for r in cluster.joint_clusters(df, 2.0, 3).collect()}
     assert {got[i] for i in range(10)} == {0} and {got[i] for i in range(10, 20)} == {1}
     assert set(r.cluster_id for r in cluster.joint_clusters(df, 2.0, 11).collect()) == {-1}
+
+
+def test_ids_that_begin_again_in_each_field(spark):
+    """Row ids are a field's own: equal ids of two fields never meet, and fields may have names."""
+    rows = [(f, i, 10.0 + 0.01 * i + 50 * (i >= 6) * (f == "b"), 10.0) for f in "ab" for i in range(12)]
+    df = spark.createDataFrame(rows, "fov_name string, loc_id long, xc double, yc double")
+    got = {}
+    for r in cluster.dbscan(df, 0.05, 3, ("fov_name",)).collect():
+        got.setdefault(r.fov_name, {}).setdefault(r.cluster_id, set()).add(r.loc_id)
+    assert got["a"] == {0: set(range(12))} and got["b"] == {0: set(range(6)), 1: set(range(6, 12))}
+    member, stats = cluster.image_regions(df.withColumn("part", F.lit("x")), 100.0, 100.0, 1.0, least_rows=2, keys=("fov_name", "part"))
+    assert member.count() == 24 and {r.fov_name for r in stats.collect()} <= {"a", "b"}
+
+
+def test_event_lengths_stay_in_their_field(spark):
+    rows = [(f, f * 100 + n, n, 5.0, 5.0) for f in (0, 1) for n in range(10 * f, 10 * f + 10)]
+    df = spark.createDataFrame(rows, "fov_index int, loc_id long, frame int, xc double, yc double")
+    assert linking.mean_event_length(df, 0.5, 0).first()[0] == 10.0
+    assert linking.mean_event_length(df, 0.5, 0, most=5).first()[0] == 5.0

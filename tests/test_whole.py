@@ -30,16 +30,16 @@ def test_fire_resolution_of_every_field(spark):
     assert got[2] == pytest.approx(want, abs=2e-6, nan_ok=True) and not all(math.isnan(a) for a, _ in got.values())
 
 
-@pytest.mark.parametrize("name", ["molecule_average_all", "roi_traces_all", "frame_offset_union_all", "minimum_rows_guard_all"])
+@pytest.mark.parametrize("name", ["molecule_average", "roi_traces", "frame_offset_union", "minimum_rows_guard"])
 def test_whole_table_against_its_twin(spark, name):
     same(registry.QUERIES[name](spark, SF), connect(SF), registry.ORACLE_SQL[name])
 
 
 def test_no_molecule_or_field_is_left_out(spark):
     t = locs(spark, SF)
-    assert registry.QUERIES["roi_traces_all"](spark, SF).select("punctum").distinct().count() == t.select("molecular_index").distinct().count() > 50
-    assert registry.QUERIES["frame_offset_union_all"](spark, SF).count() == registry.QUERIES["minimum_rows_guard_all"](spark, SF).count() == t.count() > 7500
+    assert registry.QUERIES["roi_traces"](spark, SF).select("punctum").distinct().count() == t.select("molecular_index").distinct().count() > 50
+    assert registry.QUERIES["frame_offset_union"](spark, SF).count() == registry.QUERIES["minimum_rows_guard"](spark, SF).count() == t.count() > 7500
 
 
 def test_molecules_beyond_the_brightest_hundred(spark):
-    assert registry.QUERIES["molecule_average_all"](spark, SF).count() > registry.QUERIES["molecule_average"](spark, SF).count() == 100
+    assert registry.QUERIES["molecule_average"](spark, SF).count() > 100
