@@ -46,6 +46,8 @@ FINE, FINE_RADIUS = 1536, 276
 FIRST, NEAREST = 8, 2  # blocks in which members are linked to their nearest, and to how many
 CROWD = 64  # larger buckets are compared row by row in blocks, others all at once
 _PLACES = np.random.default_rng(5).permuted(np.tile(np.arange(WIDE), (BLOCKS, 1)), axis=1)[:, :BLOCK_BITS]
+#: The bits of each block, as a mask over the words of a fingerprint.
+_MASKS = np.packbits((np.arange(WIDE) == _PLACES[..., None]).any(axis=1), axis=1, bitorder="little").view("<u8")
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -233,6 +235,7 @@ def _nearest(key: np.ndarray, node: np.ndarray, check: np.ndarray, crowd: int =
 def _between(key: np.ndarray, node: np.ndarray, check: np.ndarray, root: np.ndarray, fine: np.ndarray | None = None, crowd: int = CROWD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of nodes with different roots in equal keys within ``CHECK_RADIUS``, and ``FINE_RADIUS`` if their bits are given.
 
+    With these a pair comes from the first block alone that both share, however many they meet in.
     In a crowded bucket everything is compared with what lies outside its
     largest group, so a group that fills it costs nothing.
     """
@@ -244,7 +247,12 @@ def _between(key: np.ndarray, node: np.ndarray, check: np.ndarray, root: np.ndar
 
     def close(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if fine is not None and len(i):
-            parts = [k[_apart(fine[i[k]], fine[j[k]]).sum(axis=1, dtype=np.int32) <= FINE_RADIUS] for k in np.array_split(np.arange(len(i)), len(i) // 4096 + 1)]
+            parts = []
+            for k in np.array_split(np.arange(len(i)), len(i) // 4096 + 1):
+                k = k[_apart(fine[i[k]], fine[j[k]]).sum(axis=1, dtype=np.int32) <= FINE_RADIUS]
+                differ = fine[i[k], : WIDE // 64] ^ fine[j[k], : WIDE // 64]
+                shared = np.stack([((differ & m) == 0).all(axis=1) for m in _MASKS], axis=1)
+                parts.append(k[shared.argmax(axis=1) == key[i[k]] >> BLOCK_BITS])
             keep = np.concatenate(parts)
             i, j = i[keep], j[keep]
         return node[i], node[j]
@@ -257,11 +265,13 @@ def _between(key: np.ndarray, node: np.ndarray, check: np.ndarray, root: np.ndar
     for s, n in zip(starts[sizes > crowd], sizes[sizes > crowd]):
         groups, words = root[s : s + n], check[s : s + n]
         names, counts = np.unique(groups, return_counts=True)
-        others = np.flatnonzero(groups != names[counts.argmax()])
+        outside = groups != names[counts.argmax()]
+        others = np.flatnonzero(outside)
         for at in range(0, len(others), 256):
             own = others[at : at + 256]
             i, j = np.nonzero((_apart(words[own, None], words[None, :]) <= CHECK_RADIUS) & (groups[own, None] != groups[None, :]))
-            yield close(s + own[i], s + j)
+            once = ~outside[j] | (own[i] < j)  # two from outside the largest group meet twice
+            yield close(s + own[i[once]], s + j[once])
 
 
 def _meet(nodes: DataFrame, work, schema: str, names: tuple[str, ...], first: int | None = None) -> DataFrame:
