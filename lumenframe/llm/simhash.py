@@ -16,7 +16,8 @@ texts meet in ``BLOCKS`` blocks of ``BLOCK_BITS`` of them, and compares the
 whole shingle sets of those that met and whose longer fingerprints are close.
 A large group of near copies isn't compared pair by pair: members are first
 linked to their nearest in a few blocks, and then only texts of different
-groups are compared in all blocks.
+groups are compared in all blocks.  The longer fingerprints go only to the
+blocks in which a text meets another group.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ WIDE = 512
 BLOCKS, BLOCK_BITS = 96, 18
 CHECK_RADIUS = 20  # of the first 64 bits; a pair at the least similarity has 9.7 +- 2.9, an unrelated one 32 +- 4
 #: Bits of those that meet another group, and how many may differ: a pair at
-#: the least similarity has 232.7 +- 14.1, one at 0.7 295 +- 15.
-FINE, FINE_RADIUS = 1536, 276
+#: the least similarity has 931 +- 28, one at 0.75 1058 +- 30.
+FINE, FINE_RADIUS = 6144, 1040
 FIRST, NEAREST = 8, 2  # blocks in which members are linked to their nearest, and to how many
 CROWD = 64  # larger buckets are compared row by row in blocks, others all at once
 _PLACES = np.random.default_rng(5).permuted(np.tile(np.arange(WIDE), (BLOCKS, 1)), axis=1)[:, :BLOCK_BITS]
@@ -233,15 +234,14 @@ def _nearest(key: np.ndarray, node: np.ndarray, check: np.ndarray, crowd: int =
 
 
 def _between(key: np.ndarray, node: np.ndarray, check: np.ndarray, root: np.ndarray, fine: np.ndarray | None = None, crowd: int = CROWD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of nodes with different roots in equal keys within ``CHECK_RADIUS``, and ``FINE_RADIUS`` if their bits are given.
+    """Rows, as two arrays of places, of all pairs of nodes with different roots in equal keys within ``CHECK_RADIUS``, and ``FINE_RADIUS`` if their bits are given.
 
     With these a pair comes from the first block alone that both share, however many they meet in.
     In a crowded bucket everything is compared with what lies outside its
     largest group, so a group that fills it costs nothing.
     """
     order = np.lexsort((node, key))
-    key, node, check, root = key[order], node[order], check[order], root[order]
-    fine = None if fine is None else fine[order]
+    key, check, root = key[order], check[order], root[order]
     starts, sizes = _buckets(key)
     calm = np.repeat(sizes <= crowd, sizes)
 
@@ -249,13 +249,15 @@ def _between(key: np.ndarray, node: np.ndarray, check: np.ndarray, root: np.ndar
         if fine is not None and len(i):
             parts = []
             for k in np.array_split(np.arange(len(i)), len(i) // 4096 + 1):
-                k = k[_apart(fine[i[k]], fine[j[k]]).sum(axis=1, dtype=np.int32) <= FINE_RADIUS]
-                differ = fine[i[k], : WIDE // 64] ^ fine[j[k], : WIDE // 64]
+                left, right = order[i[k]], order[j[k]]
+                near = _apart(fine[left], fine[right]).sum(axis=1, dtype=np.int32) <= FINE_RADIUS
+                k, left, right = k[near], left[near], right[near]
+                differ = fine[left, : WIDE // 64] ^ fine[right, : WIDE // 64]
                 shared = np.stack([((differ & m) == 0).all(axis=1) for m in _MASKS], axis=1)
                 parts.append(k[shared.argmax(axis=1) == key[i[k]] >> BLOCK_BITS])
             keep = np.concatenate(parts)
             i, j = i[keep], j[keep]
-        return node[i], node[j]
+        return order[i], order[j]
 
     for d in range(1, min(crowd, int(sizes.max(initial=0)))):
         i = np.flatnonzero((key[d:] == key[:-d]) & calm[d:])
@@ -274,11 +276,9 @@ def _between(key: np.ndarray, node: np.ndarray, check: np.ndarray, root: np.ndar
             yield close(s + own[i[once]], s + j[once])
 
 
-def _meet(nodes: DataFrame, work, schema: str, names: tuple[str, ...], first: int | None = None) -> DataFrame:
+def _meet(rows: DataFrame, work, schema: str, names: tuple[str, ...]) -> DataFrame:
     """``work`` over the columns ``key`` and ``names`` of all rows of a task, dealt by key."""
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = F.col("keys") if first is None else F.slice("keys", 1, first)
-    rows = nodes.repartition(n, "node").select(*names, F.explode(keys).alias("key")).repartition(n, "key")
+    rows = rows.select("key", *names).repartition(_parts(rows), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [[b.column(c) for c in ("key", *names)] for b in batches]
@@ -291,6 +291,15 @@ def _meet(nodes: DataFrame, work, schema: str, names: tuple[str, ...], first: in
     return rows.mapInArrow(run, schema)
 
 
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _blocks(nodes: DataFrame, names: tuple[str, ...], first: int = BLOCKS) -> DataFrame:
+    """``names`` of each node with each of its first ``keys``; a node has many, so few rows of input make a large task."""
+    return nodes.repartition(_parts(nodes), "node").select(*names, F.explode(F.slice("keys", 1, first)).alias("key"))
+
+
 def _pairs(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     for a, b in parts:
         if len(a):
@@ -327,26 +336,37 @@ def near_copies(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         left = hot_join(pairs, sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         both = hot_join(left, sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-        return checkpointed(both.where(_similar(F.col("set_a"), F.col("set_b"))).select("a", "b"))
+        return checkpointed(both.where(_similar(F.col("set_a"), F.col("set_b"))).select(pairs.columns))
 
     def rooted(rows: DataFrame, labels: DataFrame) -> DataFrame:
         return hot_join(rows, labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     def opened(key, node, check, root) -> Iterator[pa.RecordBatch]:
-        for a, b in _between(key, node, check, root, crowd=crowd):
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([a, b])))], names=["node"])
+        meets = np.zeros(len(key), dtype=bool)
+        for i, j in _between(key, node, check, root, crowd=crowd):
+            meets[i] = meets[j] = True
+        yield pa.RecordBatch.from_arrays([pa.array(x[meets]) for x in (key, node, check, root)], names=["key", "node", "check", "root"])
+
+    def close(key, node, check, root, fine) -> Iterator[pa.RecordBatch]:
+        for i, j in _between(key, node, check, root, fine, crowd):
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], root[i], root[j])], names=["a", "b", "root_a", "root_b"])
 
-    near = checkpointed(_meet(nodes, lambda *x: _pairs(_nearest(*x, crowd=crowd)), "a long, b long", ("node", "check"), FIRST).distinct())
+    near = checkpointed(_meet(_blocks(nodes, ("node", "check"), FIRST), lambda *x: _pairs(_nearest(*x, crowd=crowd)), "a long, b long", ("node", "check")).distinct())
     edges = verified(near, sets_of(near.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     grouped = checkpointed(rooted(nodes, components(edges)))
-    # who meets another group at all; only these are compared by their longer fingerprints
-    sets = sets_of(checkpointed(_meet(grouped, opened, "node long", ("node", "check", "root")).distinct()))
-    rest = hot_join(grouped, sets.select("node", _fine_bits("set").alias("fine")), "node")
-    between = checkpointed(_meet(rest, lambda *x: _pairs(_between(*x, crowd=crowd)), "a long, b long", ("node", "check", "root", "fine")).distinct())
-    edges = edges.union(verified(between, sets))
+    # who meets another group, and where; only these are compared by their longer fingerprints
+    every = _blocks(grouped, ("node", "check", "root"))
+    met = _meet(every, opened, "key int, node long, check long, root long", ("node", "check", "root"))
+    met = checkpointed(met.groupBy("node").agg(F.first("check").alias("check"), F.first("root").alias("root"), F.collect_list("key").alias("keys")))
+    sets = sets_of(met.select("node"))
+    rest = hot_join(met, sets.select("node", _fine_bits("set").alias("fine")), "node")
+    between = checkpointed(_meet(_blocks(rest, ("node", "check", "root", "fine")), close, "a long, b long, root_a long, root_b long", ("node", "check", "root", "fine")))
+    joined = components(verified(between, sets).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    final = hot_join(grouped.select("node", "root"), joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    final = final.select("node", F.coalesce("top", "root").alias("root"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias(none), F.col("doc_id").alias(i), F.col("node").alias(h))).alias(c)
-    stay = rooted(prints.select("doc_id", "node"), components(edges)).groupBy("root").agg(first)
+    stay = hot_join(prints.select("doc_id", "node"), final, "node").groupBy("root").agg(first)
     stay = stay.select(F.coalesce(F.col(f"{c}.{i}").cast("string"), F.lit("null")).alias(i), F.col(f"{c}.{h}").alias(h))
     keyed = docs.withColumn(i, F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn(h, content)
     return keyed.join(stay.distinct(), [i, h], "left_semi").dropDuplicates([i, h]).drop(i, h)
