@@ -85,22 +85,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edge to a smaller one.  Large star hangs each larger neighbour below the
     smallest one, small star does so for the smaller ones; the longest path
     halves about every round.  Each round is checkpointed; the driver sees
-    only three numbers.  No edges give no rows.
+    only three numbers, and at the end collects its garbage, so that Spark
+    removes what the rounds wrote.  No edges give no rows.
     """
 
+    def pairs_of(df: DataFrame, *names: tuple[str, str]) -> DataFrame:
+        both = F.inline(F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in names]))
+        return df.select(both)
+
     def least(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m"))
 
     def large(e: DataFrame) -> DataFrame:
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
+        both = pairs_of(e, ("a", "b"), ("b", "a"))
         m = least(both).select("u", F.least("u", "m").alias("m"))
         return hot_join(both, m, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         m = least(down)
-        hung = hot_join(down, m, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        return hung.union(m.select("u", "m")).distinct()
+        return pairs_of(hot_join(down, m, "u"), ("v", "m"), ("u", "m")).select(F.col("u").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
 
     def mark(e: DataFrame) -> tuple:
         x = F.xxhash64("a", "b")
@@ -114,6 +118,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = checkpointed(small(large(now)))
         before, seen = seen, mark(now)
         if before == seen:
+            now.sparkSession.sparkContext._jvm.System.gc()
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     if seen[0]:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
