@@ -314,7 +314,8 @@ def near_copies(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     shingles is ``SIMILARITY`` or more; groups are chains of such pairs.  Each
     linked pair is verified on its whole sets.  A pair at the least similarity
     meets in a block and is close enough with a probability of some 0.99, a
-    more similar one more likely.  Members are first linked to their nearest
+    more similar one more likely; of very short texts some such pairs are
+    lost (4 shingles against 5: all).  Members are first linked to their nearest
     in a few blocks; then every pair that meets in any block and isn't yet of
     one group is compared, whatever the size of its bucket.  Which row
     stays: the one with the smallest id (null ids come last; of rows that
